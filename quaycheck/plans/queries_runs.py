@@ -93,10 +93,10 @@ def _order_days(spark, sf):
     return o.groupBy("priority", "day").agg(F.count(lit(1)).alias("n_runs"), F.sum("price").alias("amount")).withColumn("outcome", lit("FLAG"))
 
 
-@query("zscore_dow", f"WITH {_ORDER_DAYS}, d AS (SELECT priority, day, n AS v FROM od) {_z_sql('d', 'priority', 84, 2.0, 5, 'AND isodow(a.day) = isodow(b.day)')}")
+@query("zscore_dow", f"WITH {_ORDER_DAYS}, d AS (SELECT priority, day, n AS v FROM od) {_z_sql('d', 'priority', 84, 2.01, 5, 'AND isodow(a.day) = isodow(b.day)')}")
 def zscore_dow(spark, sf):
     days = anomaly.baseline_days(_order_days(spark, sf), ["priority"], "day", "n_runs", None, "outcome")
-    return _scored(anomaly.rolling(days, ["priority"], "day", 84, same_weekday=True), "priority", c("s").cast("double"), 2.0, 5)
+    return _scored(anomaly.rolling(days, ["priority"], "day", 84, same_weekday=True), "priority", c("s").cast("double"), 2.01, 5)
 
 
 @query("zscore_amount", f"WITH {_ORDER_DAYS}, d AS (SELECT priority, day, (amount * 100)::DOUBLE AS v FROM od) {_z_sql('d', 'priority', 30, 3.0, 7)}")
