@@ -65,15 +65,15 @@ def frozen_window(spark, sf):
 
 def _z_sql(days, by, window, limit, least, extra=""):
     """Textbook form: pair every day with the days of its window."""
-    return f"""SELECT a.{by}, a.day, count(b.v) AS baseline_n, CASE WHEN count(b.v) >= {least} THEN round((any_value(a.v) - avg(b.v)) / stddev_pop(b.v), 4) END AS z,
- CASE WHEN count(b.v) < {least} THEN 'COLD_START' WHEN abs((any_value(a.v) - avg(b.v)) / stddev_pop(b.v)) > {limit} THEN 'ANOMALY' ELSE 'NORMAL' END AS verdict
- FROM {days} a LEFT JOIN {days} b ON a.{by} = b.{by} AND b.day >= a.day - {window} AND b.day < a.day {extra} GROUP BY 1, 2"""
+    return f"""SELECT {by}, day, n AS baseline_n, CASE WHEN n >= {least} AND sd > 0 THEN round((v - m) / sd, 4) WHEN n >= {least} AND v = m THEN 0 END AS z,
+ CASE WHEN n < {least} THEN 'COLD_START' WHEN sd = 0 THEN CASE WHEN v = m THEN 'NORMAL' ELSE 'ANOMALY' END WHEN abs((v - m) / sd) > {limit} THEN 'ANOMALY' ELSE 'NORMAL' END AS verdict
+ FROM (SELECT a.{by}, a.day, any_value(a.v) AS v, count(b.v) AS n, avg(b.v) AS m, stddev_pop(b.v) AS sd FROM {days} a LEFT JOIN {days} b ON a.{by} = b.{by} AND b.day >= a.day - {window} AND b.day < a.day {extra} GROUP BY 1, 2)"""
 
 
 def _scored(days, by, value, limit, least, sums=("n", "s", "ss")):
     n, s, ss = (c(f"base_{x}") for x in sums)
     z = anomaly.z_score(value, n, s, ss)
-    warm = F.coalesce(n, lit(0)) >= least
+    warm = (F.coalesce(n, lit(0)) >= least) & (F.abs(z) < float("inf"))
     return days.select(by, "day", F.coalesce(n, lit(0)).alias("baseline_n"), F.when(warm, F.round(z, 4)).alias("z"), anomaly.z_verdict(n, lit(least), z, lit(limit)).alias("verdict"))
 
 
@@ -93,7 +93,7 @@ def _order_days(spark, sf):
     return o.groupBy("priority", "day").agg(F.count(lit(1)).alias("n_runs"), F.sum("price").alias("amount")).withColumn("outcome", lit("FLAG"))
 
 
-@query("zscore_dow", f"WITH {_ORDER_DAYS}, d AS (SELECT priority, day, n AS v FROM od) {_z_sql('d', 'priority', 84, 2.01, 5, 'AND isodow(a.day) = isodow(b.day)')}")
+@query("zscore_dow", f"WITH {_ORDER_DAYS}, d AS (SELECT priority, day, n AS v, isodow(day) AS wd FROM od) {_z_sql('d', 'priority', 84, 2.01, 5, 'AND a.wd = b.wd')}")
 def zscore_dow(spark, sf):
     days = anomaly.baseline_days(_order_days(spark, sf), ["priority"], "day", "n_runs", None, "outcome")
     return _scored(anomaly.rolling(days, ["priority"], "day", 84, same_weekday=True), "priority", c("s").cast("double"), 2.01, 5)
