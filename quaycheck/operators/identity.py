@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaycheck.functions import fixed_values as fx
 from quaycheck.functions import patterns as pt
-from quaycheck.functions.common import blank_to_null, call, lookup
+from quaycheck.functions.common import blank_to_null, lookup
 
 
 def basename(path: Column) -> Column:
@@ -168,8 +168,8 @@ def first_capture(lines: DataFrame, key: str, patterns: dict[str, str]) -> DataF
 
 def content_verdict(pairs: list[tuple[str, Column, Column]]) -> Column:
     """PASS, or MISFILED_OBJECT when nothing was found or a stated pair differs."""
-    none_found = call("coalesce", *[c for _n, _f, c in pairs]).isNull()
-    differ = F.lit(False)
+    none_found, differ = F.lit(True), F.lit(False)
     for _name, file_side, content_side in pairs:
+        none_found = none_found & content_side.isNull()
         differ = differ | F.coalesce(file_side != content_side, F.lit(False))
     return F.when(none_found | differ, "MISFILED_OBJECT").otherwise("PASS")

@@ -16,18 +16,24 @@ from quaycheck.functions.common import blank_to_null, call
 
 # -- splitting -------------------------------------------------------------------------------
 
-def _parts(text: Column, terminator: str) -> Column:
-    """Split, without the empty part after a final terminator."""
-    parts = F.split(text, terminator)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+def _without_last(text: Column, *ends: str) -> Column:
+    """The text without one final terminator, the first of the given ones that fits."""
+    out = None
+    for end in ends:
+        cut = F.substring(text, F.lit(1), F.length(text) - len(end))
+        fits = F.endswith(text, F.lit(end))
+        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    return out.otherwise(text)
+
+
+def _parts(text: Column, terminator: str, *ends: str) -> Column:
+    """Split once, without the empty part after a final terminator."""
+    return F.split(_without_last(text, *(ends or (terminator,))), terminator)
 
 
 def split_any(text: Column) -> Column:
     """Lines under any of the three terminators; an empty text has none."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        _parts(text, "\r\n|\r|\n")
-    )
+    return F.when(text != "", _parts(text, "\r\n|\r|\n", "\r\n", "\n", "\r")).otherwise(F.array().cast("array<string>"))
 
 
 def split_strict(text: Column, policy: Column) -> Column:
@@ -56,7 +62,7 @@ def split_strict(text: Column, policy: Column) -> Column:
         .when((policy == "crlf") & has_pair, _parts(clean, "\r\n"))
         .when(policy == "lf", _parts(clean, "\n"))
         .when(policy == "cr", _parts(clean, "\r"))
-        .otherwise(_parts(clean, universal))
+        .otherwise(_parts(clean, universal, "\r\n", *"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"))
     )
     end = F.when(policy == "lf", "\n").when(policy == "cr", "\r").otherwise("\r\n")
     ends = call("regexp_count", clean, end)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,53 +33,51 @@ def stored_outcome(status: Column) -> Column:
     return F.coalesce(lookup(fx.STATUS_OUTCOME, status), F.lit("QUARANTINE_FILE"))
 
 
-def check(name: str, passed: Column, on_fail: str | Column, message: Column, stop: bool = True,
-          quiet: bool = False, final: bool = False, info: dict[str, Column] | None = None) -> Column:
-    """One rung of a ladder.
+@dataclass
+class Rung:
+    """One check of a ladder.
 
     stop: a failure skips the rungs below. quiet: listed only when it fails. final: a failure ends
     the ladder with nothing listed after it.
     """
-    return F.struct(
-        F.lit(name).alias("rule_name"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
-        (F.lit(on_fail) if isinstance(on_fail, str) else on_fail).alias("on_fail"),
-        message.alias("message"),
-        F.lit(stop).alias("stop"),
-        F.lit(quiet).alias("quiet"),
-        F.lit(final).alias("final"),
-        details(**(info or {})).alias("details"),
-    )
-
-
-def climb(checks: Column) -> Column:
-    """Evaluations of a ladder: rungs below a stopping failure are marked skipped.
-
-    Narrow: the ladder is an array on the file's own row.
+
+    rule: str
+    passed: Column
+    on_fail: str | Column
+    message: Column
+    stop: bool = True
+    quiet: bool = False
+    final: bool = False
+    info: dict[str, Column] = field(default_factory=dict)
+
+
+def with_ladder(df: DataFrame, name: str, rungs: list[Rung]) -> DataFrame:
+    """Adds the evaluations of a ladder: rungs below a stopping failure are marked skipped.
+
+    Narrow and compiled: each rung is computed once as a column of the file's own row, and which
+    rungs lie below a failure is plain boolean logic over those columns.
     """
-    stopped = F.filter(checks, lambda c: ~c["passed"] & c["stop"])
-    all_no = F.transform(checks, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    stop_at = F.coalesce(
-        F.get(F.filter(all_no, lambda s: ~s["c"]["passed"] & s["c"]["stop"]), 0)["i"], F.lit(1 << 20)
-    )
-    ends = F.coalesce(F.get(stopped, 0)["final"], F.lit(False))
-    shown = F.filter(
-        all_no,
-        lambda s: (s["i"] == stop_at)
-        | ((s["i"] < stop_at) & ~(s["c"]["quiet"] & s["c"]["passed"]))
-        | ((s["i"] > stop_at) & ~ends & ~s["c"]["quiet"]),
-    )
-    return F.transform(
-        shown,
-        lambda s: F.struct(
-            s["c"]["rule_name"].alias("rule_name"),
-            (s["c"]["passed"] | (s["i"] > stop_at)).alias("passed"),
-            (s["i"] > stop_at).alias("skipped"),
-            F.when(s["i"] > stop_at, "Skipped after prior failure.").otherwise(s["c"]["message"]).alias("message"),
-            F.when(s["i"] > stop_at, F.lit(None).cast("string")).otherwise(s["c"]["on_fail"]).alias("on_fail"),
-            F.when(s["i"] > stop_at, F.create_map().cast("map<string,string>")).otherwise(s["c"]["details"]).alias("details"),
-        ),
-    )
+    held = {
+        f"_{name}_{i}": F.struct(
+            F.coalesce(r.passed, F.lit(False)).alias("passed"), (F.lit(r.on_fail) if isinstance(r.on_fail, str) else r.on_fail).alias("on_fail"),
+            r.message.alias("message"), details(**r.info).alias("details"))
+        for i, r in enumerate(rungs)
+    }
+    entries, below, ended = [], F.lit(False), F.lit(False)
+    for r, column in zip(rungs, held):
+        own = F.col(column)
+        entry = F.struct(
+            F.lit(r.rule).alias("rule_name"), (below | own["passed"]).alias("passed"), below.alias("skipped"),
+            F.when(below, "Skipped after prior failure.").otherwise(own["message"]).alias("message"),
+            F.when(~below, own["on_fail"]).alias("on_fail"),
+            F.when(below, F.create_map().cast("map<string,string>")).otherwise(own["details"]).alias("details"))
+        hidden = (ended | below | own["passed"]) if r.quiet else ended
+        entries.append(F.when(~hidden, entry))
+        if r.stop:
+            halts = ~below & ~own["passed"]
+            ended = (ended | halts) if r.final else ended
+            below = below | ~own["passed"]
+    return df.withColumns(held).withColumn(name, F.array_compact(F.array(*entries))).drop(*held)
 
 
 def first_failure(evaluations: Column) -> Column:

@@ -66,7 +66,8 @@ def evaluate(landed: DataFrame, contracts: DataFrame, history: DataFrame, as_of:
     ).drop("_b", "_c", "_p", "_d")
     joined = sets.commit_markers(joined, keys, "key", F.when(F.col("is_object"), F.col("commit_marker")))
     joined = sets.delta_logs(joined, keys, "key", F.col("is_object") & (F.col("object_format") == "Delta"))
-    first = joined.withColumn("g1", outcome.climb(F.when(F.col("is_object"), _object_ladder()).otherwise(_file_ladder())))
+    first = outcome.with_ladder(outcome.with_ladder(joined, "as_file", _file_ladder()), "as_object", _object_ladder())
+    first = first.withColumn("g1", F.when(F.col("is_object"), F.col("as_object")).otherwise(F.col("as_file"))).drop("as_file", "as_object")
     first = staged(first.withColumns({
         "g1_outcome": outcome.ladder_outcome(F.col("g1")),
         "g1_reason": F.coalesce(outcome.first_failure(F.col("g1"))["message"], F.lit("All extraction checks passed.")),
@@ -118,11 +119,11 @@ def _facts(landed: DataFrame, contracts: DataFrame) -> DataFrame:
     is_header = lambda l: F.when(
         patterned, ~pt.matches(l, F.col("ignore_re")) & pt.matches(l, F.col("header_re"))
     ).otherwise(~pt.matches(l, F.col("ignore_re")))
-    at = F.array_position(F.transform("lines", is_header), F.lit(True)).cast("int")
+    at, c_at = F.array_position(F.transform("lines", is_header), F.lit(True)).cast("int"), F.col("_at")
     return (
-        files.withColumn("patterned", patterned)
+        files.withColumn("patterned", patterned).withColumn("_at", at)
         # the line that names the columns: the first header line, or the first line where none is marked
-        .withColumn("header_no", F.when(at > 0, at - 1).otherwise(0))
+        .withColumn("header_no", F.when(c_at > 0, c_at - 1).otherwise(0)).drop("_at")
         .withColumn("header", F.when(F.size("lines") > 0, quality.csv_fields(F.get("lines", F.col("header_no")), F.col("delimiter"))).otherwise(
             F.array().cast("array<string>")))
     )
@@ -201,7 +202,7 @@ def _present(files: DataFrame, siblings: DataFrame | None, contracts: DataFrame)
                         F.col("property").alias("_p"), F.col("date").alias("_d"), "present")
 
 
-def _file_ladder() -> Column:
+def _file_ladder() -> list[outcome.Rung]:
     c = F.col
     verdict, missing = sets.sibling_verdict(c("atomic_set"), c("report_type"), c("present"))
     q, r = "QUARANTINE_FILE", "REJECT_FILE"
@@ -217,59 +218,59 @@ def _file_ladder() -> Column:
         .when(F.size("missing_tokens") > 0, F.concat(text("Filename syntax deviation: missing groups "), F.array_join("missing_tokens", ", "), text(".")))
         .otherwise("Filename matched; tokens extracted.")
     )
-    return F.array(
+    return [
         *_first_rungs(),
-        outcome.check("filename_regex", c("name_matches") & (F.size("missing_tokens") == 0), q, name_message),
-        outcome.check("property_code", identity.same_or_absent(c("property"), c("property_code")), q,
+        outcome.Rung("filename_regex", c("name_matches") & (F.size("missing_tokens") == 0), q, name_message),
+        outcome.Rung("property_code", identity.same_or_absent(c("property"), c("property_code")), q,
                       F.concat(text("Property code mismatch: filename="), F.coalesce("property", text("")), text(" contract="), F.coalesce("property_code", text(""))), quiet=True),
-        outcome.check("endpoint_registered", identity.endpoint_accepted(c("report_type"), c("atomic_set")), q,
+        outcome.Rung("endpoint_registered", identity.endpoint_accepted(c("report_type"), c("atomic_set")), q,
                       F.when(identity.endpoint_accepted(c("report_type"), c("atomic_set")), "Endpoint accepted.").otherwise(
                           F.concat(text("UNREGISTERED_ENDPOINT: Report type '"), F.coalesce("report_type", text("")), text("' is not registered in airlock contract for property '"),
                                    F.coalesce("property", "property_code", text("")), text("'.")))),
-        outcome.check("path_agreement", path_ok, q,
+        outcome.Rung("path_agreement", path_ok, q,
                       F.when(path_ok, "Path agrees with the filename.").when(~c("path_matches"), "Path-to-filename agreement failed: path does not match pattern.")
                       .otherwise(F.concat(text("Path-to-filename agreement failed: "), F.array_join(differ, ", ")))),
-        outcome.check("physical_integrity", c("enc.ok"), r,
+        outcome.Rung("physical_integrity", c("enc.ok"), r,
                       F.when(c("enc.ok"), F.concat(text("Physical integrity OK ("), c("enc.used"), text(")."))).otherwise(
                           F.concat(text("Physical integrity failed: decode error at byte "), F.coalesce(c("enc.error_start").cast("string"), text("?")), text("."))),
                       info={"error_start": c("enc.error_start"), "offending_byte": c("enc.offending_byte"), "encoding": c("enc.requested")}),
-        outcome.check("line_conservation", lines.engine_conserved(F.coalesce("data_rows", F.lit(0)), c("declared_count")), q,
+        outcome.Rung("line_conservation", lines.engine_conserved(F.coalesce("data_rows", F.lit(0)), c("declared_count")), q,
                       F.concat(text("Line conservation: data_lines="), unit(c("data_rows")), text(" declared_count="), F.coalesce(c("declared_count").cast("string"), text("none"))),
                       stop=False, info={"total_lines": c("total_rows"), "header_lines": c("header_rows"), "data_lines": c("data_rows"),
                                         "footer_lines": c("footer_rows"), "ignore_lines": c("ignore_rows"), "declared_count": c("declared_count")}),
-        outcome.check("non_empty_payload", F.coalesce("data_rows", F.lit(0)) > 0, q,
+        outcome.Rung("non_empty_payload", F.coalesce("data_rows", F.lit(0)) > 0, q,
                       F.when(F.coalesce("data_rows", F.lit(0)) > 0, F.concat(text("Payload contains "), unit(c("data_rows")), text(" data row(s)."))).otherwise(
                           "EMPTY_PAYLOAD: File contains headers/trailers but zero data rows."), stop=False),
-        outcome.check("atomic_set", verdict == "PASS", F.when(F.size(missing) > 0, "HOLD_SET").otherwise(q),
+        outcome.Rung("atomic_set", verdict == "PASS", F.when(F.size(missing) > 0, "HOLD_SET").otherwise(q),
                       F.when(verdict == "HOLD", F.concat(text("HOLD_SET: atomic set incomplete; waiting for: "), F.array_join(missing, ", ")))
                       .when(verdict == "QUARANTINE", "Atomic set failed: report type is not a required endpoint.").otherwise("Atomic set complete or not required."),
                       stop=False, info={"missing_endpoints": F.when(F.size(missing) > 0, F.array_join(missing, ","))}),
-    )
+    ]
 
 
-def _first_rungs() -> list[Column]:
+def _first_rungs() -> list[outcome.Rung]:
     return [
-        outcome.check("noise_filter", ~F.col("noisy"), "QUARANTINE_FILE", F.lit("Object matches a noise filter pattern and will not be ingested."), quiet=True, final=True),
-        outcome.check("non_empty_payload", F.col("length") > 0, "QUARANTINE_FILE", F.lit("PHYSICAL_INTEGRITY_FAIL: File is 0 bytes."), quiet=True, final=True),
+        outcome.Rung("noise_filter", ~F.col("noisy"), "QUARANTINE_FILE", F.lit("Object matches a noise filter pattern and will not be ingested."), quiet=True, final=True),
+        outcome.Rung("non_empty_payload", F.col("length") > 0, "QUARANTINE_FILE", F.lit("PHYSICAL_INTEGRITY_FAIL: File is 0 bytes."), quiet=True, final=True),
     ]
 
 
-def _object_ladder() -> Column:
+def _object_ladder() -> list[outcome.Rung]:
     c, text = F.col, F.lit
     route = c("failure_route")
     held = ~c("require_marker") | c("has_marker") | ((c("object_format") == "Delta") & c("has_delta_log"))
     base = identity.basename(F.coalesce(blank_to_null(c("filename")), c("key")))
-    return F.array(
+    return [
         *_first_rungs(),
-        outcome.check("partition_path", c("part_tokens").isNotNull(), route, F.when(c("part_tokens").isNull(), "Partition path does not match the configured template.").otherwise(
+        outcome.Rung("partition_path", c("part_tokens").isNotNull(), route, F.when(c("part_tokens").isNull(), "Partition path does not match the configured template.").otherwise(
             "Partition path matched; identity tokens extracted.")),
-        outcome.check("property_code", identity.same_or_absent(c("property"), c("property_code")), route, text("Property code mismatch between path and contract."), quiet=True),
-        outcome.check("commit_marker", held, "HOLD_SET", F.when(held, "Commit marker present or not required.").otherwise(
+        outcome.Rung("property_code", identity.same_or_absent(c("property"), c("property_code")), route, text("Property code mismatch between path and contract."), quiet=True),
+        outcome.Rung("commit_marker", held, "HOLD_SET", F.when(held, "Commit marker present or not required.").otherwise(
             F.concat(text("HOLD: commit marker '"), c("commit_marker"), text("' not present in partition.")))),
-        outcome.check("watermark", F.coalesce("watermark", text("PASS")) == "PASS", "QUARANTINE_FILE",
+        outcome.Rung("watermark", F.coalesce("watermark", text("PASS")) == "PASS", "QUARANTINE_FILE",
                       F.concat(text("Watermark column '"), c("watermark_column"), text("': "), F.coalesce("watermark", text("deferred to read time")))),
-        outcome.check("object_payload", sets.object_payload_ok(base, c("object_format"), c("length"), c("commit_marker")), "REJECT_FILE", text("Object payload judged.")),
-    )
+        outcome.Rung("object_payload", sets.object_payload_ok(base, c("object_format"), c("length"), c("commit_marker")), "REJECT_FILE", text("Object payload judged.")),
+    ]
 
 
 # -- gate 2 ----------------------------------------------------------------------------------
@@ -304,23 +305,24 @@ def _gate_two(files: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     verdict = anomaly.z_verdict(c("base_n"), c("min_samples"), z, c("max_z"))
     amount_out = F.coalesce(enough & (F.abs(az) > c("max_amount_z")), F.lit(False))
     normal = (verdict == "COLD_START") | ((verdict == "NORMAL") & ~amount_out)
-    checks = F.array(
-        outcome.check("G2_DUPLICATE_PAYLOAD", ~repeated, "QUARANTINE_FILE", F.when(~repeated, "Payload hash was not released before.").otherwise(
+    checks = [
+        outcome.Rung("G2_DUPLICATE_PAYLOAD", ~repeated, "QUARANTINE_FILE", F.when(~repeated, "Payload hash was not released before.").otherwise(
             "FILE_ALREADY_INGESTED: Identical SHA256 payload hash exists in run history."), stop=False, info={"payload_hash": c("checksum"), "matches": c("released_runs")}),
-        outcome.check("G2_OVERLAP_DRIFT", ~drift, "FLAG", F.when(drift, "OVERLAP_DRIFT_DETECTED: New payload received for an already certified business date.").otherwise(
+        outcome.Rung("G2_OVERLAP_DRIFT", ~drift, "FLAG", F.when(drift, "OVERLAP_DRIFT_DETECTED: New payload received for an already certified business date.").otherwise(
             "No other payload for this business date."), stop=False),
-        outcome.check("G2_FROZEN_WINDOW", frozen == "OPEN", "QUARANTINE_FILE", F.when(frozen == "OPEN", "Business date is within the open accounting window.").otherwise(
+        outcome.Rung("G2_FROZEN_WINDOW", frozen == "OPEN", "QUARANTINE_FILE", F.when(frozen == "OPEN", "Business date is within the open accounting window.").otherwise(
             F.concat(F.lit("FROZEN_WINDOW_VIOLATION: "), frozen)), stop=False),
-        outcome.check("G2_ZSCORE_ANOMALY", F.coalesce(normal, F.lit(True)), "FLAG", F.when(verdict == "COLD_START", "Insufficient historical samples; z-score check skipped (cold-start).").when(
+        outcome.Rung("G2_ZSCORE_ANOMALY", F.coalesce(normal, F.lit(True)), "FLAG", F.when(verdict == "COLD_START", "Insufficient historical samples; z-score check skipped (cold-start).").when(
             normal, "Volume within rolling baseline.").otherwise("G2_ZSCORE_ANOMALY: Volume/financial variance exceeds rolling baseline."), stop=False,
             info={"z_score": F.when(~F.isnan(z) & (F.abs(z) < float("inf")), F.round(z, 4)), "baseline_n": F.coalesce("base_n", F.lit(0)),
                   "cold_start": F.when(verdict == "COLD_START", "true")}),
-    )
+    ]
     skipped = F.array(F.struct(
         F.lit("G2_SKIPPED").alias("rule_name"), F.lit(True).alias("passed"), F.lit(True).alias("skipped"),
         F.concat(F.lit("Gate 2 skipped: Gate 1 outcome="), c("g1_outcome"), F.lit(".")).alias("message"), F.lit(None).cast("string").alias("on_fail"),
         details(skipped=F.lit("true")).alias("details")))
-    return joined.withColumn("g2", F.when(c("skip_two"), skipped).otherwise(outcome.climb(checks))).withColumn("g2_outcome", _worst("g2"))
+    judged = outcome.with_ladder(joined, "g2", checks)
+    return judged.withColumn("g2", F.when(c("skip_two"), skipped).otherwise(c("g2"))).withColumn("g2_outcome", _worst("g2"))
 
 
 def _worst(evaluations: str, ranks: dict[str, int] = fx.GATE_RANK) -> Column:
@@ -338,12 +340,16 @@ def _gate_three_four(files: DataFrame) -> DataFrame:
     framed = (F.size("header") > 0) | (c("is_object") & (c("length") > 0))
     ranged = F.transform("numeric_ranges", lambda r: r["column"])
     count = lambda n: F.concat(rows(n).cast("string"), F.lit(" row(s)."))
-    absent = outcome.check("dataframe_present", F.lit(False), q, F.lit("No rows available for this gate."), stop=False)
-    g3 = F.when(~framed, F.array(absent)).when(c("is_object"), F.array(outcome.check("required_columns", F.lit(True), q, F.lit("Lake object: validated at read time."), stop=False))).otherwise(F.array(
-        outcome.check("required_columns", F.size(gone) == 0, q, F.concat(F.lit("Required columns missing: "), F.array_join(gone, ", ")), stop=False),
-        outcome.check("non_null_constraints", (rows("null_rows") == 0) & ~lacking(c("non_null_columns")), q, F.concat(F.lit("Non-null constraints: "), count("null_rows")), stop=False),
-        outcome.check("numeric_column_integrity", (rows("poison_rows") == 0) & ~lacking(c("numeric_columns")), q, F.concat(F.lit("Numeric column poison: "), count("poison_rows")), stop=False),
-        outcome.check("numeric_range_bounds", (rows("range_rows") == 0) & ~lacking(ranged), q, F.concat(F.lit("Numeric range bounds: "), count("range_rows")), stop=False)))
+    ours = ~c("is_object")
+    # a file without any row has one finding; lake objects are validated at read time
+    absent = lambda on_fail: outcome.Rung("dataframe_present", framed, on_fail, F.lit("No rows available for this gate."), quiet=True, final=True)
+    g3 = [
+        absent(q),
+        outcome.Rung("required_columns", ~ours | (F.size(gone) == 0), q, F.concat(F.lit("Required columns missing: "), F.array_join(gone, ", ")), stop=False),
+        outcome.Rung("non_null_constraints", ~ours | ((rows("null_rows") == 0) & ~lacking(c("non_null_columns"))), q, F.concat(F.lit("Non-null constraints: "), count("null_rows")), stop=False),
+        outcome.Rung("numeric_column_integrity", ~ours | ((rows("poison_rows") == 0) & ~lacking(c("numeric_columns"))), q, F.concat(F.lit("Numeric column poison: "), count("poison_rows")), stop=False),
+        outcome.Rung("numeric_range_bounds", ~ours | ((rows("range_rows") == 0) & ~lacking(ranged)), q, F.concat(F.lit("Numeric range bounds: "), count("range_rows")), stop=False),
+    ]
     has = lambda aliases: F.size(revenue.aliases_present(c("header"), c(aliases))) > 0
     line_sum = F.when(has("line_amount_columns"), F.coalesce("line_part", F.lit(0)).cast("decimal(28,2)") + F.coalesce("tax_part", F.lit(0)).cast("decimal(28,2)"))
     net = F.when(has("net_sales_columns"), F.coalesce("net_sales", F.lit(0)).cast("decimal(28,2)"))
@@ -351,15 +357,15 @@ def _gate_three_four(files: DataFrame) -> DataFrame:
     first = F.when(c("check_header_line"), revenue.balance_verdict(c("header_total"), line_sum, c("max_variance"))).otherwise("SKIPPED")
     second = F.when(c("check_sales_tender"), revenue.balance_verdict(net, tender, c("max_variance"))).otherwise("SKIPPED")
     state = lambda v, message: F.when(v == "IMBALANCED", message).otherwise(F.concat(F.lit("Balance: "), v))
-    g4 = F.when(~framed, F.array(outcome.check("dataframe_present", F.lit(False), "REJECT_FILE", F.lit("No rows available for this gate."), stop=False))).otherwise(F.array(
-        outcome.check("header_vs_line_balance", first != "IMBALANCED", "REJECT_FILE", state(first, revenue.imbalance_message("Header total", c("header_total"), "Line sum", line_sum)),
-                      stop=False, info={"variance": F.when(first == "IMBALANCED", revenue.variance(c("header_total"), line_sum))}),
-        outcome.check("sales_vs_tender_balance", second != "IMBALANCED", "REJECT_FILE", state(second, revenue.imbalance_message("Net sales", net, "Tender payments", tender)),
-                      stop=False, info={"variance": F.when(second == "IMBALANCED", revenue.variance(net, tender))})))
-    return (
-        files.withColumn("g3", outcome.climb(g3)).withColumn("g4", outcome.climb(g4))
-        .withColumn("g3_outcome", _worst("g3")).withColumn("g4_outcome", _worst("g4"))
-    )
+    g4 = [
+        absent("REJECT_FILE"),
+        outcome.Rung("header_vs_line_balance", first != "IMBALANCED", "REJECT_FILE", state(first, revenue.imbalance_message("Header total", c("header_total"), "Line sum", line_sum)),
+                     stop=False, info={"variance": F.when(first == "IMBALANCED", revenue.variance(c("header_total"), line_sum))}),
+        outcome.Rung("sales_vs_tender_balance", second != "IMBALANCED", "REJECT_FILE", state(second, revenue.imbalance_message("Net sales", net, "Tender payments", tender)),
+                     stop=False, info={"variance": F.when(second == "IMBALANCED", revenue.variance(net, tender))}),
+    ]
+    judged = outcome.with_ladder(outcome.with_ladder(files, "g3", g3), "g4", g4)
+    return judged.withColumns({"g3_outcome": _worst("g3"), "g4_outcome": _worst("g4")})
 
 
 # -- report ----------------------------------------------------------------------------------

@@ -283,7 +283,7 @@ def line_split(spark, sf):
     """English documents get carriage returns, which an LF policy drops and counts."""
     docs = table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN lang = 'en' THEN replace(text, char(10), concat(char(13), char(10))) ELSE text END AS body")
     strict = lines.split_strict(c("body"), lit("lf"))
-    return docs.select("doc_id", F.size(lines.split_any(c("body"))).cast("bigint").alias("n_lines"), strict.alias("s")).select("doc_id", "n_lines", "s.segments", "s.skipped")
+    return docs.select("doc_id", F.size(lines.split_any(c("body"))).cast("bigint").alias("n_lines"), strict["segments"].alias("segments"), strict["skipped"].alias("skipped"))
 
 
 _SHELL_CLASS = rf"""CASE WHEN regexp_matches(line, '{HDR}') OR regexp_matches(line, '^TRL\|COUNT\|') THEN 'header_footer' WHEN regexp_matches(line, '{IGN}') THEN 'ignored'

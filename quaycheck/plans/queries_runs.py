@@ -272,7 +272,7 @@ _FACTS = "f AS (SELECT o.*, coalesce(items, 0) AS items FROM orders o LEFT JOIN
 
 
 def _ladder(spark, sf, rungs):
-    rows = _checks(spark, sf).withColumn("e", outcome.climb(F.array(*rungs)))
+    rows = outcome.with_ladder(_checks(spark, sf), "e", rungs)
     first = outcome.first_failure(c("e"))
     return rows.select("o_orderkey", outcome.ladder_outcome(c("e")).alias("outcome"), first["rule_name"].alias("failed_rule"), F.size("e").alias("listed"),
                        F.size(F.filter("e", lambda x: x["skipped"])).alias("skipped"))
@@ -289,12 +289,12 @@ def _msg(text):
 def gate1_ladder(spark, sf):
     noisy = (c("o_orderstatus") == "P") & (c("o_orderpriority") == "5-LOW")
     return _ladder(spark, sf, [
-        outcome.check("noise_filter", ~noisy, "QUARANTINE_FILE", _msg("noise"), quiet=True, final=True),
-        outcome.check("filename_regex", c("o_totalprice") > 0, "QUARANTINE_FILE", _msg("name")),
-        outcome.check("physical_integrity", c("o_orderstatus") != "P", "REJECT_FILE", _msg("bytes")),
-        outcome.check("line_conservation", c("items") <= 5, "QUARANTINE_FILE", _msg("lines"), stop=False),
-        outcome.check("non_empty_payload", c("items") > 0, "QUARANTINE_FILE", _msg("empty"), stop=False),
-        outcome.check("atomic_set", c("o_orderpriority") != "1-URGENT", "HOLD_SET", _msg("set"), stop=False),
+        outcome.Rung("noise_filter", ~noisy, "QUARANTINE_FILE", _msg("noise"), quiet=True, final=True),
+        outcome.Rung("filename_regex", c("o_totalprice") > 0, "QUARANTINE_FILE", _msg("name")),
+        outcome.Rung("physical_integrity", c("o_orderstatus") != "P", "REJECT_FILE", _msg("bytes")),
+        outcome.Rung("line_conservation", c("items") <= 5, "QUARANTINE_FILE", _msg("lines"), stop=False),
+        outcome.Rung("non_empty_payload", c("items") > 0, "QUARANTINE_FILE", _msg("empty"), stop=False),
+        outcome.Rung("atomic_set", c("o_orderpriority") != "1-URGENT", "HOLD_SET", _msg("set"), stop=False),
     ])
 
 
@@ -304,8 +304,8 @@ def gate1_ladder(spark, sf):
 def object_ladder(spark, sf):
     route = F.when(c("o_orderstatus") == "F", "QUARANTINE_FILE").otherwise("REJECT_FILE")
     return _ladder(spark, sf, [
-        outcome.check("partition_path", c("o_orderpriority") != "5-LOW", route, _msg("path")), outcome.check("commit_marker", c("o_orderstatus") != "P", "HOLD_SET", _msg("marker")),
-        outcome.check("watermark", c("items") <= 5, "QUARANTINE_FILE", _msg("watermark")), outcome.check("object_payload", c("items") > 0, "REJECT_FILE", _msg("payload"))])
+        outcome.Rung("partition_path", c("o_orderpriority") != "5-LOW", route, _msg("path")), outcome.Rung("commit_marker", c("o_orderstatus") != "P", "HOLD_SET", _msg("marker")),
+        outcome.Rung("watermark", c("items") <= 5, "QUARANTINE_FILE", _msg("watermark")), outcome.Rung("object_payload", c("items") > 0, "REJECT_FILE", _msg("payload"))])
 
 
 @query("shell_ladder", f"""WITH {_FACTS}, x AS (SELECT o_orderkey, unnest([{{'ord': 1, 'bad': o_orderpriority = '5-LOW'}}, {{'ord': 2, 'bad': o_orderstatus = 'P'}}, {{'ord': 3, 'bad': items > 5}}, {{'ord': 4, 'bad': items = 0}}]) AS r FROM f)
@@ -332,13 +332,12 @@ def outcome_reason(spark, sf):
 def _stored_runs(spark, sf):
     """Runs with the evaluations of two gates as arrays."""
     out = ["QUARANTINE_FILE", "REJECT_FILE"]
-    one = outcome.climb(F.array(
-        outcome.check("endpoint_registered", ~c("overall_outcome").isin(out), c("overall_outcome"), F.concat(lit("UNREGISTERED_ENDPOINT: "), c("report_type"))),
-        outcome.check("atomic_set", c("overall_outcome") != "HOLD_SET", "HOLD_SET", lit("HOLD_SET: waiting"), stop=False, info={"missing_endpoints": c("report_type")})))
-    four = outcome.climb(F.array(
-        outcome.check("sales_vs_tender_balance", c("overall_outcome") != "FLAG", "FLAG", F.concat(lit("Net sales $"), c("net_amount").cast("string"), lit(" vs Tender payments $0.00.")), stop=False,
-                      info={"variance": c("net_amount")})))
-    return runs(spark, sf).withColumns({"g1": one, "g4": four})
+    one = [
+        outcome.Rung("endpoint_registered", ~c("overall_outcome").isin(out), c("overall_outcome"), F.concat(lit("UNREGISTERED_ENDPOINT: "), c("report_type"))),
+        outcome.Rung("atomic_set", c("overall_outcome") != "HOLD_SET", "HOLD_SET", lit("HOLD_SET: waiting"), stop=False, info={"missing_endpoints": c("report_type")})]
+    said = F.concat(lit("Net sales $"), c("net_amount").cast("string"), lit(" vs Tender payments $0.00."))
+    four = [outcome.Rung("sales_vs_tender_balance", c("overall_outcome") != "FLAG", "FLAG", said, stop=False, info={"variance": c("net_amount")})]
+    return outcome.with_ladder(outcome.with_ladder(runs(spark, sf), "g1", one), "g4", four)
 
 
 def run_findings(spark, sf):

@@ -135,7 +135,7 @@ def evaluate(files: DataFrame, profiles: DataFrame, registry: DataFrame, as_of:
                                         F.slice("slots", c("expected_slots") + 1, F.size("slots"))).otherwise(none))
     f = f.drop("content", "lines", "split", "classes", "dates", "slots")
     f = _with_sets(f)
-    f = f.withColumn("rules", _ladder(f)).withColumn("evaluations", _statuses())
+    f = f.withColumn("rules", _ladder(f)).withColumn("stop_at", _stop_at()).withColumn("evaluations", _statuses())
     failed = F.filter("evaluations", lambda e: e["status"].isin("FAIL", "HOLD", "FLAG"))
     worst = F.array_max(F.transform(failed, lambda e: outcome.rank(e["on_fail"], fx.SHELL_RANK)))
     return f.withColumn("overall_outcome", outcome.by_rank(F.coalesce(worst, lit(0)), fx.SHELL_RANK)).withColumn(
@@ -199,12 +199,23 @@ def _ladder(f: DataFrame) -> Column:
     )
 
 
+def _stop_at() -> Column:
+    """Place of the first rule whose failure ends the evaluation."""
+    halts = F.transform("rules", lambda r, i: F.when(r["failed"] & r["stop"], i))
+    return F.coalesce(F.array_min(halts), F.lit(99))
+
+
 def _statuses() -> Column:
-    """PASS, FAIL, HOLD, FLAG or SKIPPED per rule; the two halves of rule 6 show as one."""
+    """PASS, FAIL, HOLD, FLAG or SKIPPED per rule.
+
+    Rule 0 shows only when it fails, and then alone. Of the two halves of rule 6 (places 7 and 8)
+    the flag shows when it is raised, the other one otherwise.
+    """
+    stop_at, flagged = F.col("stop_at"), F.get("rules", 8)["failed"] & (F.col("stop_at") == 99)
     numbered = F.transform("rules", lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    stop_at = F.coalesce(F.get(F.filter(numbered, lambda s: s["r"]["failed"] & s["r"]["stop"]), 0)["i"], F.lit(99))
-    shown = F.filter(numbered, lambda s: ((s["i"] != 0) | s["r"]["failed"]) & ((s["i"] != 8) | (s["r"]["failed"] & (stop_at == 99)))
-                     & ~((s["i"] == 7) & (stop_at == 99) & F.get("rules", 8)["failed"]) & ~((s["i"] > stop_at) & (stop_at == 0)))
+    shown = F.filter(numbered, lambda s: (
+        F.when(s["i"] == 0, s["r"]["failed"]).when(s["i"] == 7, ~flagged).when(s["i"] == 8, flagged).otherwise(F.lit(True))
+        & ((stop_at != 0) | (s["i"] == 0))))
     return F.transform(shown, lambda s: F.struct(
         s["r"]["rule_id"].alias("rule_id"),
         F.when(s["i"] > stop_at, "SKIPPED").when(s["r"]["failed"], s["r"]["status"]).otherwise("PASS").alias("status"),

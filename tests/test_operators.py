@@ -61,7 +61,8 @@ def test_encoding_offsets_match_python(spark):
     for b, enc, ok, start, byte, decoded in got:
         b = bytes(b)
         try:
-            assert ok and b.decode(enc) == decoded, (b, enc)
+            want = b.decode(enc)
+            assert ok and want == decoded, (b, enc)
         except UnicodeDecodeError as err:
             assert (ok, start, byte) == (False, err.start, b[err.start:err.start + 1].hex()), (b, enc)
 
