@@ -45,12 +45,6 @@ def details(**values: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _k, v: v.isNotNull())
 
 
-def has_table_at_most(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimiser's own size estimate proves `df` small enough to broadcast."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit_bytes
-
-
 def dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed-value table; its size is the number of literals in the source."""
     return F.broadcast(spark.createDataFrame(rows, schema))

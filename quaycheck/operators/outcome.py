@@ -89,7 +89,7 @@ def ladder_outcome(evaluations: Column) -> Column:
     return F.coalesce(first_failure(evaluations)["on_fail"], F.lit("PASS"))
 
 
-def ladder_from_rows(checks: DataFrame, key: str, order: str, passed: str, on_fail: str) -> DataFrame:
+def ladder_from_rows(checks: DataFrame, key: str, order: str, passed: str) -> DataFrame:
     """Long form: the first failed check per file, by an aggregate over integers."""
     failed = F.when(~F.col(passed), F.col(order))
     return checks.groupBy(key).agg(

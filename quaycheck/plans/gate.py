@@ -20,6 +20,7 @@ from quaycheck.functions.common import blank_to_null, call, details
 from quaycheck.functions.dates import iso_business_date, parse_business_date
 from quaycheck.operators import anomaly, identity, lines, manifest, outcome, physical, quality, revenue, sets
 from quaycheck.session import staged
+from quaycheck.sources import control
 
 SCOPE = ["property_id", "report_type"]
 
@@ -380,7 +381,7 @@ def _report(files: DataFrame, as_of: Column) -> DataFrame:
         files.withColumn("overall_outcome", outcome.worst([c(g) for g in gates]))
         .withColumn("outcome_reason", outcome.gate_reason(
             [("G1", c("g1_outcome"), c("g1_reason"))] + [(f"G{i}", c(f"g{i}_outcome"), told(f"g{i}")) for i in (2, 3, 4)], "All Gates 1–4 passed."))
-        .withColumn("run_id", F.sha2(F.concat_ws("|", "property_id", "key", F.coalesce("checksum", F.lit(""))), 256))
+        .withColumn("run_id", control.run_id(c("key"), F.coalesce("checksum", F.lit("")), c("property_id")))
         .withColumn("readiness", manifest.readiness(total, F.col("bad_rows"), c("overall_outcome")))
         .select(
             "file_id", "run_id", "batch_id", "property_id", "contract_id", F.coalesce("report_type", F.lit("unknown")).alias("report_type"), "tokens",

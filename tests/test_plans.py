@@ -26,7 +26,7 @@ def test_no_query_pairs_rows(spark):
 
 
 @pytest.mark.parametrize("name,parts", [
-    ("history_scan", ["PushedFilters: [IsNotNull(o_orderdate)", "TakeOrderedAndProject", "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp>"]),
+    ("history_scan", ["PushedFilters: [IsNotNull(o_orderdate)", "TakeOrderedAndProject", "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp"]),
     ("lake_scan", ["ReadSchema: struct<event_type:string,value:double>"]),
     ("adjudication_queue", ["TakeOrderedAndProject"]),
     ("history_scope", ["WindowGroupLimit"]),
