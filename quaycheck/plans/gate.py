@@ -226,7 +226,7 @@ def _file_ladder() -> list[outcome.Rung]:
                       F.concat(text("Property code mismatch: filename="), F.coalesce("property", text("")), text(" contract="), F.coalesce("property_code", text(""))), quiet=True),
         outcome.Rung("endpoint_registered", identity.endpoint_accepted(c("report_type"), c("atomic_set")), q,
                       F.when(identity.endpoint_accepted(c("report_type"), c("atomic_set")), "Endpoint accepted.").otherwise(
-                          F.concat(text("UNREGISTERED_ENDPOINT: Report type '"), F.coalesce("report_type", text("")), text("' is not registered in airlock contract for property '"),
+                          F.concat(text("UNREGISTERED_ENDPOINT: Report type '"), F.coalesce("report_type", text("")), text("' is not registered in the contract for property '"),
                                    F.coalesce("property", "property_code", text("")), text("'.")))),
         outcome.Rung("path_agreement", path_ok, q,
                       F.when(path_ok, "Path agrees with the filename.").when(~c("path_matches"), "Path-to-filename agreement failed: path does not match pattern.")

@@ -139,7 +139,7 @@ def evaluate(files: DataFrame, profiles: DataFrame, registry: DataFrame, as_of:
     failed = F.filter("evaluations", lambda e: e["status"].isin("FAIL", "HOLD", "FLAG"))
     worst = F.array_max(F.transform(failed, lambda e: outcome.rank(e["on_fail"], fx.SHELL_RANK)))
     return f.withColumn("overall_outcome", outcome.by_rank(F.coalesce(worst, lit(0)), fx.SHELL_RANK)).withColumn(
-        "outcome_reason", F.coalesce(F.get(failed, 0)["message"], lit("All extraction airlock rules passed."))).select(
+        "outcome_reason", F.coalesce(F.get(failed, 0)["message"], lit("All extraction rules passed."))).select(
         "file_id", "filename", "profile_id", c("property").alias("property_id"), "report_type", "business_date", c("checksum").alias("checksum_sha256"),
         "overall_outcome", "outcome_reason", "total_read_rows", "header_footer_rows", "accepted_rows", "rejected_rows", "quarantined_rows", "ignored_rows",
         "unaccounted_rows", "declared_total", "sections_found", "missing_sections", "slots_detected", "unmapped",
