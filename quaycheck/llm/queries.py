@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import lm_score
+from quaycheck.llm import lm_score, packing
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_json(name: str) -> str:
+    """Text of a public tokenizer file, read once on the driver and sent to the tasks; a few MB of fixed size."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -24,3 +32,9 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id leaves no 2 when divided by 7."""
     docs = table(spark, sf_dir, "documents")
     return lm_score.score(docs, held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens, each closed by id 0."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
