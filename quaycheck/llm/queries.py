@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import lm_score, packing
+from quaycheck.llm import bpe, lm_score, packing
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens, each closed by id 0."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"), digests=True)
