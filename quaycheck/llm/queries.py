@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import bpe, lm_score, packing, quality_classifier, quality_rules
+from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, quality_classifier, quality_rules
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: five words, similarity of 0.75 or more."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
