@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
+from quaycheck.llm import bpe, html_extract, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ FROM d LEFT JOIN f USING (payload_digest)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
