@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import bpe, html_extract, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
+from quaycheck.llm import bpe, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document (declared in its column, its source as host) and of every page (markup, address)."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix")
+    )
+    html, host = F.col("html"), language_id.host_of(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", language_id.visible(html).alias("text"), language_id.markup_language(html).alias("declared"), host.alias("host"), language_id.suffix_of(host).alias("suffix")
+    )
+    return language_id.identify(docs.unionByName(pages), declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"), carry=["doc_id", "page_id"])
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
