@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import bpe, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
+from quaycheck.llm import bpe, cover_tree, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
 from quaycheck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.unionByName(pages), declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"), carry=["doc_id", "page_id"])
 
 
+@query
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all vectors, and their components."""
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
