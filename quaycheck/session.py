@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,20 @@ def with_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives this package's source to the executors, once per context, so that tasks can import it anywhere."""
+    context = spark.sparkContext
+    if not getattr(context, "_quaycheck_shipped", False):
+        home = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="package-")) / "quaycheck-source.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, Path(home.name) / file.relative_to(home))
+        context.addPyFile(str(target))
+        context._quaycheck_shipped = True
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can read and write, named by the cluster in spark.checkpoint.dir.
 
