@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quaycheck.llm import language_id, minhash_dedup, packing, quality_classifier
 from quaycheck.llm.common import staged, table
 from quaycheck.llm.queries import tokenizer_json
+from quaycheck.session import ship_package
 
 #: Ids up to this many are sent to the scan; more are joined.
 FEW = 1_000_000
@@ -51,11 +52,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_json("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", quality),
-    ("language_id", language),
-    ("minhash_dedup", near_duplicates),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def shipped(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(ship_package(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", shipped(quality)),
+    ("language_id", shipped(language)),
+    ("minhash_dedup", shipped(near_duplicates)),
+    ("packing", shipped(pack)),
 ]
 
 #: SQL cannot express the trained stages; tests compare them with brute-force versions.

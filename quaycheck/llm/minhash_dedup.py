@@ -4,11 +4,10 @@ Sets. A text's set is its distinct five-word shingles as 64-bit hashes. Texts wi
 them stands for all, so copies are never compared.
 
 Candidates. Signatures of `bands` x `rows` minima; representatives with an equal band share a bucket. A bucket is
-never expanded into all its pairs: its members are paired with its leader only, found by aggregation (the member of
-the smallest hash). Links join representatives to components; then each further round pairs, in every bucket
-that still spans several components, the members outside the largest component with the bucket's members of other
-components: first again with one leader per component, and in the last round with all of them, so that no candidate
-pair between two components is left out.
+never expanded into its pairs. Its members are paired with its leader, found by aggregation; links join them to
+components. Where a bucket still spans several components, the members outside the largest one are paired with a leader
+of that one. What is left after that is compared in full, members outside the largest component against all of other
+components, block by block within tasks: no candidate pair between two components is left out, and none becomes a row.
 
 Verification. The pair's signatures are compared in batches. With a uniform prior, after m agreements in n minima the
 similarity follows Beta(m + 1, n - m + 1); a pair is given up as soon as the chance that its similarity reaches the
@@ -191,18 +190,72 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def outside_main(members: DataFrame, labels: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, node, label) of buckets that span several components, and those among them outside the largest one
-    of their bucket, with a leader of that one."""
-    own = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+def outside_main(members: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+    """Members (key, band, node, label) of buckets that span several components, with the label and a leader of the largest one."""
+    own = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("label"))
     parts = own.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("leader"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "label", "leader")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.label").alias("main"), F.col("main.leader").alias("leader"))
-    open_ = staged(own.join(main, "key"), "open")
-    return open_, open_.where("label <> main")
+    return staged(own.join(main, "key"), "open")
+
+
+def compared_in_blocks(members: DataFrame, payload: DataFrame, threshold: tuple[int, int], miss: float, batch_size: int, rows: int = 512, shingles: int = 400_000) -> DataFrame:
+    """Links between members outside a bucket's largest component and its members of other components.
+
+    A bucket's members are cut into blocks and each pair of blocks is compared within one task: pairs are formed in
+    arrays, never as rows, and only links come out, one per member and component. A pair that shares several
+    buckets is compared in that of the first band.
+    """
+    part, whole = threshold
+    full = members.join(payload, "node")
+    outside = F.when(F.col("label") != F.col("main"), 1)
+    most = lambda n, size: F.ceil(F.greatest(n / rows, size / shingles)).cast("int")
+    sizes = full.groupBy("key").agg(F.count("*").alias("n"), F.sum("n").alias("s"), F.count(outside).alias("nu"), F.sum(F.col("n") * outside).alias("su"))
+    sizes = staged(sizes.select("key", most(F.col("n"), F.col("s")).alias("ms"), most(F.col("nu"), F.col("su")).alias("us")), "sizes")
+    placed = full.join(sizes, "key")
+    cut = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["key", "band", "node", "label", "keys", "signature", "bands"]
+    all_ = placed.select(*columns, F.lit(False).alias("out"), cut(F.col("ms")).alias("m"), every("us").alias("u"))
+    out = placed.where("label <> main").select(*columns, F.lit(True).alias("out"), every("ms").alias("m"), cut(F.col("us")).alias("u"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        band = group["band"][0].as_py()
+        sides = {}
+        for flag in (True, False):
+            g = group.filter(pa.compute.equal(group["out"], flag))
+            n = g.num_rows
+            flat = np.array(g["bands"].to_pylist(), np.int64).reshape(n, -1)[:, :band]
+            sig = np.frombuffer(b"".join(g["signature"].to_pylist()), np.uint32).reshape(n, -1) if n else np.zeros((0, batch_size), np.uint32)
+            sides[flag] = g["node"].to_numpy(), g["label"].to_numpy(), flat, sig, [np.frombuffer(k, np.uint64) for k in g["keys"].to_pylist()]
+        (nu, lu, bu, su, ku), (nm, lm, bm, sm, km) = sides[True], sides[False]
+        open_ = lu[:, None] != lm[None, :]
+        for i in range(band):
+            open_ &= bu[:, i, None] != bm[None, :, i]
+        iu, im = np.nonzero(open_)
+        agreed = np.zeros(len(iu), np.int64)
+        for i, least in enumerate(least_agreements(batch_size, su.shape[1] // batch_size, part / whole, miss)):
+            cols = slice(i * batch_size, (i + 1) * batch_size)
+            for lo in range(0, len(iu), 1 << 18):
+                some = slice(lo, lo + (1 << 18))
+                agreed[some] += (su[iu[some], cols] == sm[im[some], cols]).sum(1)
+            ok = agreed >= least
+            iu, im, agreed = iu[ok], im[ok], agreed[ok]
+        met, a, b = set(), [], []
+        for i, j in zip(iu.tolist(), im.tolist(), strict=True):
+            if (i, lm[j]) in met:
+                continue
+            both = len(np.intersect1d(ku[i], km[j], assume_unique=True))
+            if whole * both >= part * (len(ku[i]) + len(km[j]) - both):
+                met.add((i, lm[j]))
+                a.append(int(nu[i]))
+                b.append(int(nm[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return all_.unionByName(out).groupBy("key", "m", "u").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (75, 100), bands: int = 50, rows: int = 5, miss: float = 1e-6, leader_rounds: int = 2, batch: int = 25,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (75, 100), bands: int = 50, rows: int = 5, miss: float = 1e-6, batch: int = 25,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept marks the row that names its component."""
     part, whole = threshold
@@ -214,29 +267,25 @@ def near_duplicates(
     repeated = bool((classes.agg(F.max("n")).first()[0] or 0) > 1) or prints.where("id is null").limit(1).count() > 0
     sigs = staged(sketched.where("signature is not null").select("node", "signature", "bands").dropDuplicates(["node"]), "signatures")
 
-    keyed = sigs.select("node", F.explode("bands").alias("key"))
+    keyed = sigs.select("node", F.posexplode("bands").alias("band", "key"))
     leaders = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("n > 1").select("key", "leader")
     members = staged(keyed.join(leaders, "key"), "members")
     sets = staged(full_sets(docs, firsts, members.select("node").distinct(), repeated, id_col, text, width), "sets")
-    sigs, members_only = sigs.select("node", "signature"), members.select("key", "node")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return staged(verified(plausible(pairs, sigs, part / whole, miss, batch), sets, part, whole), "verified")
+        return staged(verified(plausible(pairs, sigs.select("node", "signature"), part / whole, miss, batch), sets, part, whole), "verified")
 
+    # every bucket's leader with its members; then, where components still meet, a leader of the largest one with those outside it
     tried = staged(members.where("node <> leader").select(*_ordered("node", "leader")).distinct(), "tried")
     links = linked(tried)
-    labels = staged(components(links), "labels")
-    for step in range(1, leader_rounds + 1):
-        members_open, outside = outside_main(members_only, labels, step)
-        if step < leader_rounds:
-            pairs = outside.select(*_ordered("node", "leader"))
-        else:
-            others = members_open.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            pairs = outside.join(others, "key").where("label <> other_label").select(*_ordered("node", "other"))
-        pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        links = staged(links.unionByName(linked(pairs)), "links")
-        tried = tried.unionByName(pairs)
-        labels = staged(components(links), "labels")
+    open_ = outside_main(members.drop("leader"), staged(components(links), "labels"), 1)
+    more = staged(open_.where("label <> main").select(*_ordered("node", "leader")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    links = staged(links.unionByName(linked(more)), "links")
+    # what is left is compared in full, block by block
+    open_ = outside_main(open_.select("key", "band", "node"), staged(components(links), "labels"), 2).drop("leader")
+    payload = sets.join(sigs, "node").join(open_.select("node").distinct(), "node", "left_semi").select("node", "keys", "signature", "bands", (F.length("keys") / 8).cast("long").alias("n"))
+    last = compared_in_blocks(open_, staged(payload, "payload"), threshold, miss, batch)
+    labels = staged(components(links.unionByName(last)), "labels")
 
     named = classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quaycheck.llm import bpe, cover_tree, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
 from quaycheck.llm.common import table
+from quaycheck.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,8 +25,12 @@ def tokenizer_json(name: str) -> str:
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(ship_package(spark), sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
