@@ -173,7 +173,9 @@ class Complements:
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use up the histogram.
 
-    Each step uses up at least one length, or all but too few of it, so there are at most a few times `size` steps.
+    Lengths over half the size take exact complements first; those without one are filled best fit before the shorter
+    lengths are combined exactly among themselves; what is left then is packed best fit. Each step uses up at least one
+    length, or all but too few of it, so there are at most a few times `size` steps.
     """
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
@@ -187,23 +189,37 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
             pool[x] -= times * pattern.count(x)
         steps.append((pattern, times))
 
-    for length in range(size, 0, -1):
-        while counts[length]:
-            more = () if length == size else index.fill(size - length, length)
-            if more is None:
-                rest[length] += counts[length]
-                counts[length] = 0
-            else:
-                take(counts, (length, *more))
-    while rest.any():
-        pattern, gap, left = [], size, rest.copy()
+    def exact(lengths: range) -> None:
+        for length in lengths:
+            while counts[length]:
+                more = () if length == size else index.fill(size - length, length)
+                if more is None:
+                    rest[length] += counts[length]
+                    counts[length] = 0
+                else:
+                    take(counts, (length, *more))
+
+    def best_fit(pool: np.ndarray, first: int) -> tuple[int, ...]:
+        pattern, gap, left = [first], size - first, pool.copy()
+        left[first] -= 1
         while len(fits := np.flatnonzero(left[: gap + 1])):
             x = int(fits[-1])
             n = min(gap // x, int(left[x]))
             pattern += [x] * n
             left[x] -= n
             gap -= n * x
-        take(rest, tuple(pattern))
+        return tuple(pattern)
+
+    half = size // 2
+    exact(range(size, half, -1))
+    for length in range(size, half, -1):
+        while rest[length]:
+            counts[length] = rest[length]
+            take(counts, best_fit(counts, length))
+            rest[length], counts[length] = counts[length], 0
+    exact(range(half, 0, -1))
+    while rest.any():
+        take(rest, best_fit(rest, int(np.flatnonzero(rest)[-1])))
     return steps
 
 
