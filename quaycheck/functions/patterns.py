@@ -76,9 +76,9 @@ def group(text: Column, pattern: Column, name: str) -> Column:
 
 
 def groups(text: Column, pattern: Column) -> Column:
-    """map<string,string> of all named groups that captured something."""
+    """map<string,string> of all named groups that captured something; of groups with one name the first counts."""
     names = pattern["names"]
-    numbers = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: F.element_at(names, i) != "")
+    numbers = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: (F.element_at(names, i) != "") & (F.array_position(names, F.element_at(names, i)) == i))
     entries = F.transform(
         F.when(F.size(names) > 0, numbers).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
@@ -106,10 +106,16 @@ def template_pattern(template: Column) -> Column:
 
 
 def date_format(directives: Column) -> Column:
-    out = directives
+    """Spark date pattern of a contract's directives; null if one of them is unknown.
+
+    Letters and signs that are not directives are quoted, as Spark would take them for fields.
+    """
+    known = "".join(d[1] for d in DATE_LETTERS)
+    strange = directives.rlike(f"%(?![{known}])")
+    out = F.regexp_replace(F.replace(directives, F.lit("'"), F.lit("''")), r"(?<=%[A-Za-z]|[^%A-Za-z]|^)([A-Za-z\[\]{}#]+)", "'$1'")
     for directive, letters in DATE_LETTERS.items():
         out = F.replace(out, F.lit(directive), F.lit(letters))
-    return out
+    return F.when(~strange, out)
 
 
 def java_date_format(directives: str) -> str:

@@ -15,8 +15,7 @@ from quaycheck.operators.anomaly import first_json
 
 def queue(runs: DataFrame, created: str, run: str, limit: int = 100) -> DataFrame:
     """Newest blocked runs. A top-k per task and one small merge, not a global sort."""
-    n = max(1, min(limit, 500))
-    return runs.where(F.col("overall_outcome").isin(fx.BLOCKED)).orderBy(F.col(created).desc(), F.col(run).desc()).limit(n)
+    return runs.where(F.col("overall_outcome").isin(fx.BLOCKED)).orderBy(F.col(created).desc(), F.col(run).desc()).limit(max(1, limit))
 
 
 def enrich(rows: DataFrame, properties: DataFrame, prop: str, name: str, zone: str) -> DataFrame:

@@ -53,6 +53,40 @@ def history_scope(history: DataFrame, keys: list[str], date: str, since: Column,
     )
 
 
+def scoped(asked: DataFrame, history: DataFrame, scope: list[str]) -> DataFrame:
+    """History under the scopes asked for: a key that is null on either side matches every value.
+
+    Askers look up each combination of their values and null, so a run with keys is found by an equi-join. Askers that
+    lack a key themselves meet the runs on the keys they have.
+    """
+    parts = []
+    for mask in range(1 << len(scope)):
+        have = [k for i, k in enumerate(scope) if not mask >> i & 1]
+        mine = asked
+        for k in scope:
+            mine = mine.where(F.col(k).isNotNull() if k in have else F.col(k).isNull())
+        left = mine.select(*[F.col(k).alias(f"_a_{k}") for k in scope])
+        looked = left.withColumns({f"_k_{k}": F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))) for k in have[:1]})
+        for k in have[1:]:
+            looked = looked.withColumn(f"_k_{k}", F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))))
+        if have:
+            on = [F.col(f"_k_{k}").eqNullSafe(history[k]) for k in have]
+            parts.append(looked.join(history, on).drop(*scope, *[f"_k_{k}" for k in have]))
+        elif left.limit(1).count():  # the scope without any key
+            parts.append(history.drop(*scope).withColumns({f"_a_{k}": F.lit(None).cast("string") for k in scope}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumnsRenamed({f"_a_{k}": k for k in scope})
+
+
+def joined_by_scope(left: DataFrame, right: DataFrame, scope: list[str], keys: list[str], how: str = "left") -> DataFrame:
+    """Join on the scope, where null equals null, and on further keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in [*scope, *keys]})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in scope] + [F.col(k) == F.col(f"_r_{k}") for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in [*scope, *keys]])
+
+
 def upper_outcome(c: Column) -> Column:
     return F.upper(F.coalesce(c, F.lit("")))
 
@@ -111,8 +145,8 @@ def baseline_days(history: DataFrame, scope: list[str], date: str, rows: str, am
     x = F.col(rows).cast("decimal(18,0)")
     aggs = [F.count(rows).alias("n"), F.sum(x).alias("s"), F.sum((x * x).cast("decimal(38,0)")).alias("ss")]
     if amount:
-        a = F.round(F.col(amount) * 100).cast("decimal(18,0)")
-        aggs += [F.count(amount).alias("an"), F.sum(a).alias("asum"), F.sum((a * a).cast("decimal(38,0)")).alias("ass")]
+        a = F.round(F.col(amount) * 100).try_cast("decimal(18,0)")  # what cannot be summed is not counted either
+        aggs += [F.count(a).alias("an"), F.sum(a).alias("asum"), F.sum((a * a).cast("decimal(38,0)")).alias("ass")]
     return kept.groupBy(*scope, date).agg(*aggs)
 
 
@@ -150,14 +184,13 @@ def baseline_for(asked: DataFrame, days: DataFrame, scope: list[str], date: str,
     kept = F.when(same_weekday, F.filter(ages, lambda a: a % 7 == 0)).otherwise(ages)
     if oldest is not None:
         kept = F.filter(kept, lambda a: F.date_sub(F.col(date), a.cast("int")) >= oldest)
-    pairs = asked.select(*scope, date, kept.alias("_ages")).distinct()
-    wanted = pairs.select(*scope, date, F.explode("_ages").alias("_age")).withColumn(
+    # contracts with other windows on one scope and day have baselines of their own
+    settings = [c for c in asked.columns if c not in scope and c != date]
+    pairs = asked.select(*scope, date, *settings, kept.alias("_ages")).distinct()
+    wanted = pairs.select(*scope, date, *settings, F.explode("_ages").alias("_age")).withColumn(
         "_day", F.date_sub(F.col(date), F.col("_age").cast("int")))
-    table = days.withColumnRenamed(date, "_day")
-    return (
-        wanted.join(table, [*scope, "_day"])
-        .groupBy(*scope, date).agg(*[F.sum(c).alias(f"base_{c}") for c in sums])
-    )
+    found = joined_by_scope(wanted, days.withColumnRenamed(date, "_day"), scope, ["_day"], "inner")
+    return found.groupBy(*scope, date, *settings).agg(*[F.sum(c).alias(f"base_{c}") for c in sums])
 
 
 def z_score(value: Column, n: Column, s: Column, ss: Column) -> Column:

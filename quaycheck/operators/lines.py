@@ -189,14 +189,17 @@ def date_tokens(lines: DataFrame, key: str, regex: str, java_format: str, group:
     ).withColumn("day", call("try_to_date", F.col("token"), java_format))
 
 
-def date_bounds(tokens: DataFrame, key: str, floor: Column, as_of: Column, allow_future: Column) -> DataFrame:
-    """Per file: earliest and latest date and the verdict. Files without tokens are not in the result."""
+def date_bounds(tokens: DataFrame, key: str, floor: Column, as_of: Column, allow_future: Column, files: DataFrame | None = None) -> DataFrame:
+    """Per file: earliest and latest date and the verdict. `files` names all files, so that those without a date show up."""
     seen = tokens.groupBy(key).agg(
         F.count(F.lit(1)).alias("dates_seen"),
         F.count_if(F.col("day").isNull()).alias("unparseable"),
         F.min("day").alias("earliest"),
         F.max("day").alias("latest"),
     )
+    if files is not None:
+        zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+        seen = files.select(key).join(seen, key, "left").select(key, zero("dates_seen"), zero("unparseable"), "earliest", "latest")
     return seen.withColumn("verdict", date_verdict(
         F.col("dates_seen"), F.col("unparseable"), F.col("earliest"), F.col("latest"), floor, as_of, allow_future))
 

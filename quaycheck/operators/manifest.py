@@ -13,8 +13,6 @@ from quaycheck.functions import fixed_values as fx
 from quaycheck.functions.common import blank_to_null, lookup
 
 _CANONICAL = sorted({*fx.RULE_CATEGORY, *fx.FILE_LEVEL_RULES})
-_SPELLED = {s: rule for rule, spellings in fx.RULE_SPELLINGS.items() for s in spellings}
-_SPELLED.update({rule.lower(): rule for rule in fx.RULE_CATEGORY})
 
 
 # -- rule ids --------------------------------------------------------------------------------
@@ -38,7 +36,7 @@ def rule_id(raw: Column, message: Column) -> Column:
         F.when(text == "", "UNKNOWN")
         .when(upper.isin(_CANONICAL), upper)
         .otherwise(F.coalesce(
-            lookup(_SPELLED, F.translate(F.lower(text), "- ", "__")),
+            lookup(fx.RULE_ALIASES, F.translate(F.lower(text), "- ", "__")),
             by_message,
             F.when(F.startswith(upper, F.lit("G")), upper).otherwise(text),
         ))

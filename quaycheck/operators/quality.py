@@ -58,9 +58,12 @@ def range_counts(rows: DataFrame, bounds: list[tuple[str, float | None, float |
 
 
 def csv_fields(line: Column, delimiter: Column) -> Column:
-    """Fields of a delimited line; quoted fields may hold the delimiter, doubled quotes are one."""
+    """Fields of a delimited line; quoted fields may hold the delimiter, doubled quotes are one.
+
+    The pattern is possessive, so that a cell of any length is matched in a loop and not by recursion.
+    """
     plain = F.regexp_replace(delimiter, r"([\\\[\]^|.$*+?(){}-])", r"\\$1")
-    pattern = F.concat(plain, F.lit('("(?:[^"]|"")*"|[^'), plain, F.lit("]*)"))
+    pattern = F.concat(plain, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^'), plain, F.lit("]*+)"))
     raw = call("regexp_extract_all", F.concat(delimiter, line), pattern, 1)
     unquoted = lambda f: F.when(
         F.startswith(f, F.lit('"')) & F.endswith(f, F.lit('"')) & (F.length(f) >= 2),
@@ -70,16 +73,22 @@ def csv_fields(line: Column, delimiter: Column) -> Column:
 
 
 def cells(fields: Column, header: Column) -> Column:
-    """map<column,text> of a row; short rows lack the tail, extra fields are ignored, blanks are null."""
-    return F.map_from_entries(
-        F.transform(
-            F.sequence(F.lit(1), F.size(header)),
-            lambda i: F.struct(
-                F.element_at(header, i).alias("key"),
-                blank_to_null(F.get(fields, i - 1)).alias("value"),
-            ),
-        )
-    )
+    """map<column,text> of a row; short rows lack the tail, extra fields are ignored, blanks are null.
+
+    Of columns with one name the first counts; `repeated_columns` names them.
+    """
+    at = F.sequence(F.lit(1), F.size(header))
+    first = F.when(F.size(F.array_distinct(header)) == F.size(header), at).otherwise(
+        F.filter(at, lambda i: F.array_position(header, F.element_at(header, i)) == i))
+    return F.map_from_entries(F.transform(first, lambda i: F.struct(
+        F.element_at(header, i).alias("key"), blank_to_null(F.get(fields, i - 1)).alias("value"))))
+
+
+def repeated_columns(header: Column) -> Column:
+    """Names that a header gives to more than one column, blank names left out."""
+    at = F.sequence(F.lit(1), F.size(header))
+    later = F.filter(at, lambda i: (F.array_position(header, F.element_at(header, i)) < i) & (F.trim(F.element_at(header, i)) != ""))
+    return F.when(F.size(header) > 0, F.array_distinct(F.transform(later, lambda i: F.element_at(header, i)))).otherwise(F.array().cast("array<string>"))
 
 
 def without_entity(rows: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,8 +55,8 @@ def siblings_present(files: DataFrame, batch: str, prop: str, date: str, member:
         .select(batch, prop, date, "_p", F.explode("_ds").alias("_d"))
     )
     return (
-        looked.join(providers, [batch, "_p", "_d"])
-        .select(batch, prop, date, F.explode("here").alias("m"))
+        looked.join(providers, [batch, "_p", "_d"], "left")
+        .select(batch, prop, date, F.explode_outer("here").alias("m"))
         .groupBy(batch, prop, date).agg(F.collect_set("m").alias("present"))
     )
 

@@ -197,9 +197,9 @@ def _present(files: DataFrame, siblings: DataFrame | None, contracts: DataFrame)
         for t in ("property", "report_type", "date"):
             named = named.withColumn(t, F.element_at("tokens", t))
         own = own.unionByName(named.where("name_matches").select(*cols))
-    own = own.withColumn("_set", F.concat_ws("\x01", "batch_id", "contract_id"))
+    own = own.withColumn("_set", F.to_json(F.struct("batch_id", "contract_id")))  # keeps nulls apart from each other and from texts
     found = sets.siblings_present(own, "_set", "property", "date", "report_type", F.col("atomic_set"))
-    return found.select(F.split("_set", "\x01")[0].alias("_b"), F.split("_set", "\x01")[1].alias("_c"),
+    return found.select(F.get_json_object("_set", "$.batch_id").alias("_b"), F.get_json_object("_set", "$.contract_id").alias("_c"),
                         F.col("property").alias("_p"), F.col("date").alias("_d"), "present")
 
 
@@ -287,16 +287,17 @@ def _gate_two(files: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     files = files.withColumn("oldest_day", F.date_sub(as_of, lookback))
     asking = files.where(~c("skip_two"))
     known = history.withColumnRenamed("business_date", "day")
+    # a stored run without property or report type is history of all, and a file without one has the history of all
+    known = anomaly.scoped(asking.select(*SCOPE).distinct(), known, SCOPE)
     hashes = anomaly.released_hashes(known, SCOPE, "day", "checksum_sha256", "overall_outcome").withColumnRenamed("checksum_sha256", "checksum")
     certified = anomaly.certified_days(known, SCOPE, "day", "checksum_sha256", "overall_outcome").withColumnRenamed("day", "business_date")
     days = anomaly.baseline_days(known, SCOPE, "day", "row_count", "net_amount", "overall_outcome").withColumnRenamed("day", "business_date")
     sums = ("n", "s", "ss", "an", "asum", "ass")
     base = anomaly.baseline_for(asking.select(*SCOPE, "business_date", "window_days", "same_weekday", "oldest_day"), days, SCOPE,
                                 "business_date", c("window_days"), c("same_weekday"), sums, c("oldest_day"))
-    joined = (
-        files.join(hashes, [*SCOPE, "checksum"], "left").join(certified, [*SCOPE, "business_date"], "left")
-        .join(base, [*SCOPE, "business_date"], "left")
-    )
+    joined = files
+    for found, keys in ((hashes, ["checksum"]), (certified, ["business_date"]), (base, ["business_date", "window_days", "same_weekday", "oldest_day"])):
+        joined = anomaly.joined_by_scope(joined, found, SCOPE, keys)
     repeated = F.coalesce(c("last_released_on") >= c("oldest_day"), F.lit(False))
     drift = anomaly.drifted(c("checksum"), c("low_hash"), c("high_hash")) & F.coalesce(c("business_date") >= c("oldest_day"), F.lit(False))
     frozen = anomaly.frozen_verdict(c("business_date"), as_of, c("open_days"))
@@ -347,6 +348,8 @@ def _gate_three_four(files: DataFrame) -> DataFrame:
     g3 = [
         absent(q),
         outcome.Rung("required_columns", ~ours | (F.size(gone) == 0), q, F.concat(F.lit("Required columns missing: "), F.array_join(gone, ", ")), stop=False),
+        outcome.Rung("repeated_columns", ~ours | (F.size(quality.repeated_columns(c("header"))) == 0), "FLAG", F.concat(
+            F.lit("Columns named more than once, of which the first is read: "), F.array_join(quality.repeated_columns(c("header")), ", ")), stop=False, quiet=True),
         outcome.Rung("non_null_constraints", ~ours | ((rows("null_rows") == 0) & ~lacking(c("non_null_columns"))), q, F.concat(F.lit("Non-null constraints: "), count("null_rows")), stop=False),
         outcome.Rung("numeric_column_integrity", ~ours | ((rows("poison_rows") == 0) & ~lacking(c("numeric_columns"))), q, F.concat(F.lit("Numeric column poison: "), count("poison_rows")), stop=False),
         outcome.Rung("numeric_range_bounds", ~ours | ((rows("range_rows") == 0) & ~lacking(ranged)), q, F.concat(F.lit("Numeric range bounds: "), count("range_rows")), stop=False),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaycheck.functions import dates
 from quaycheck.functions import fixed_values as fx
@@ -86,8 +87,8 @@ def history_scan(spark, sf):
 
 @query("drift_align", "SELECT event_id, CAST(NULL AS VARCHAR) AS released_by, user_id, event_type FROM events")
 def drift_align(spark, sf):
-    rows = control.align(table(spark, sf, "events"), ["event_id", "released_by", "user_id", "event_type"])
-    return rows.withColumn("released_by", c("released_by").cast("string"))
+    target = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("released_by", T.StringType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
+    return control.align(table(spark, sf, "events"), target)
 
 
 _LOOSE = "CASE event_type WHEN 'error' THEN concat('[', user_id, ']') WHEN 'view' THEN 'not json' ELSE props END"
@@ -174,13 +175,13 @@ def property_agreement(spark, sf):
 
 
 @query("path_agreement", r"""SELECT a.page_id, CASE WHEN regexp_extract(a.url, '/([a-z]{2})/\d+', 1) <> regexp_extract(b.html, '<html lang="([a-z]+)"', 1) THEN 'lang' ELSE '' END AS differing
- FROM pages a JOIN pages b ON b.page_id = a.page_id + 1""")
+ FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1""")
 def path_agreement(spark, sf):
     """Path tokens against those of the neighbouring page, so that both verdicts occur."""
     pages = table(spark, sf, "pages").withColumns({"u": pt.literal_pattern(r"/(?P<lang>[a-z]{2})/\d+"), "h": pt.literal_pattern(r'<html lang="(?P<lang>[a-z]+)"')})
     path = pages.select("page_id", pt.groups(c("url"), c("u")).alias("path_tokens"))
     other = pages.select((c("page_id") - 1).alias("page_id"), pt.groups(c("html"), c("h")).alias("file_tokens"))
-    return path.join(other, "page_id").select("page_id", csv(identity.disagreements(c("path_tokens"), c("file_tokens"))).alias("differing"))
+    return path.join(other, "page_id", "left").select("page_id", F.coalesce(csv(identity.disagreements(c("path_tokens"), c("file_tokens"))), lit("")).alias("differing"))
 
 
 _REGISTERED = {"web": ["en", "fr"], "forum": ["en", "de"], "news": ["en"], "code": []}
@@ -312,10 +313,10 @@ def row_classes_engine(spark, sf):
     return lines.with_default_header(classed, "doc_id").select("doc_id", c("line_no").cast("bigint").alias("line_no"), "row_class")
 
 
-@query("row_shape", f"WITH {DOC_LINES} SELECT doc_id, line_no, length(line) - length(replace(line, '|', '')) + 1 AS fields, contains(line, '|') AS ragged FROM dlines WHERE line <> ''")
+@query("row_shape", f"WITH {DOC_LINES} SELECT doc_id, line_no, length(line) - length(replace(line, '|', '')) + 1 AS fields, contains(line, '|') AS ragged FROM dlines")
 def row_shape(spark, sf):
     none = lit(None).cast("int")
-    rows = document_lines(spark, sf).where(c("line") != "")
+    rows = document_lines(spark, sf)
     return rows.select("doc_id", c("line_no").cast("bigint").alias("line_no"), lines.field_count(c("line"), lit("|")).cast("bigint").alias("fields"),
                        (~lines.shape_ok(c("line"), lit("|"), lit(1), none, none)).alias("ragged"))
 
@@ -360,11 +361,12 @@ def non_empty_payload(spark, sf):
 
 
 @query("date_bounds", rf"""WITH {ORDER_LINES}, d AS (SELECT file_id, TRY_CAST(t AS DATE) AS day FROM (SELECT file_id, unnest(regexp_extract_all(line, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)) AS t FROM olines))
- SELECT file_id, count(*) AS dates_seen, min(day) AS earliest, max(day) AS latest, CASE WHEN min(day) < DATE '1995-06-01' THEN 'BELOW_FLOOR' WHEN max(day) > DATE '2001-01-01' THEN 'FUTURE' ELSE 'PASS' END AS verdict FROM d GROUP BY 1""")
+ SELECT file_id, count(day) AS dates_seen, min(day) AS earliest, max(day) AS latest, CASE WHEN count(day) = 0 THEN 'NO_DATES' WHEN min(day) < DATE '1995-06-01' THEN 'BELOW_FLOOR' WHEN max(day) > DATE '2001-01-01' THEN 'FUTURE' ELSE 'PASS' END AS verdict FROM (SELECT DISTINCT file_id FROM olines) LEFT JOIN d USING (file_id) GROUP BY 1""")
 def date_bounds(spark, sf):
     tokens = lines.date_tokens(order_lines(spark, sf), "file_id", r"(\d{4}-\d{2}-\d{2})(?=[|,\t\r\n]|$)", "yyyy-MM-dd")
     day = lambda s: lit(s).cast("date")
-    return lines.date_bounds(tokens, "file_id", day("1995-06-01"), day("2001-01-01"), lit(False)).drop("unparseable")
+    files = order_lines(spark, sf).select("file_id").distinct()
+    return lines.date_bounds(tokens, "file_id", day("1995-06-01"), day("2001-01-01"), lit(False), files).drop("unparseable")
 
 
 _SECTIONS = [("HEAD", "<head>", True), ("NAV", "<nav>", True), ("CLOSE", "</html>", True), ("TABLE", "<table", False)]
@@ -402,7 +404,7 @@ def atomic_set(spark, sf):
 
 @query("atomic_set_engine", """WITH e AS (SELECT CASE WHEN value >= 2 THEN CAST(user_id AS VARCHAR) END AS property, CAST(ts AS DATE) AS day, event_type FROM events),
  a AS (SELECT DISTINCT property, day FROM e), p AS (SELECT DISTINCT property, day, event_type FROM e WHERE event_type IN ('click', 'purchase', 'view'))
- SELECT a.property, a.day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS present FROM a JOIN p ON a.day = p.day AND (a.property IS NULL OR p.property IS NULL OR a.property = p.property) GROUP BY 1, 2""")
+ SELECT a.property, a.day, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type), '') AS present FROM a LEFT JOIN p ON a.day = p.day AND (a.property IS NULL OR p.property IS NULL OR a.property = p.property) GROUP BY 1, 2""")
 def atomic_set_engine(spark, sf):
     """Events of small value do not name their user, so they stand in for any."""
     rows = _user_days(spark, sf).select("day", F.when(c("value") >= 2, c("property")).alias("property"), c("day").cast("string").alias("date"), "event_type")

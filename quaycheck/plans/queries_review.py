@@ -62,7 +62,7 @@ _ROWS = "bad AS (SELECT DISTINCT concat('run_', l_orderkey) AS run_id, 'gate_1'
 
 def _bad_rows(spark, sf):
     """Offending rows: returned items of the order behind a run."""
-    return table(spark, sf, "lineitem").where(c("l_returnflag") == "R").select(
+    return table(spark, sf, "lineitem").select(
         F.concat(lit("run_"), c("l_orderkey").cast("string")).alias("run_id"), lit("gate_1").alias("gate"), lit("atomic_set").alias("rule_name"), c("l_linenumber").cast("bigint").alias("row_no"))
 
 
@@ -172,7 +172,7 @@ def decision_actions(spark, sf):
 
 # -- adjudication ----------------------------------------------------------------------------
 
-@query("adjudication_queue", f"WITH {RUNS} SELECT run_id, overall_outcome, business_date FROM runs WHERE overall_outcome IN ({names(fx.BLOCKED)}) ORDER BY created_at DESC, run_id DESC LIMIT 500")
+@query("adjudication_queue", f"WITH {RUNS} SELECT run_id, overall_outcome, business_date FROM runs WHERE overall_outcome IN ({names(fx.BLOCKED)}) ORDER BY created_at DESC, run_id DESC LIMIT 1000")
 def adjudication_queue(spark, sf):
     return adjudication.queue(runs(spark, sf), "created_at", "run_id", 1000).select("run_id", "overall_outcome", "business_date")
 
@@ -396,12 +396,12 @@ def profile_lint(spark, sf):
 
 
 @query("customer_tree", """SELECT coalesce(CAST(n_nationkey AS VARCHAR), '__unassigned__') AS customer, s_suppkey AS property, coalesce(n, 0) AS feeds FROM (SELECT * FROM nation WHERE n_regionkey <> 2) n
- FULL JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) f ON l_suppkey = s_suppkey WHERE n_nationkey IS NOT NULL OR s_suppkey IS NOT NULL""")
+ FULL JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) f ON l_suppkey = s_suppkey WHERE n_nationkey IS NOT NULL OR s_suppkey IS NOT NULL""")
 def customer_tree(spark, sf):
     """Nations own suppliers, suppliers have feeds; suppliers of a nation left out have no owner."""
     owners = table(spark, sf, "nation").where(c("n_regionkey") != 2).select(c("n_nationkey").alias("customer"))
     properties = table(spark, sf, "supplier").select(c("s_nationkey").alias("customer"), c("s_suppkey").alias("property"))
-    feeds = table(spark, sf, "lineitem").where(c("l_returnflag") == "R").select(c("l_suppkey").alias("property"))
+    feeds = table(spark, sf, "lineitem").select(c("l_suppkey").alias("property"))
     return contracts.customer_tree(owners, properties, feeds, "customer", "property").select("customer", "property", F.coalesce("feeds", lit(0)).alias("feeds"))
 
 

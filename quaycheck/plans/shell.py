@@ -29,7 +29,7 @@ def normalise_profiles(profiles: DataFrame, doc: str) -> DataFrame:
     rules = lambda n: pt.any_of(F.transform(F.coalesce(ty(LINE_RULE, f"$.row_classification.{n}"), F.array().cast(LINE_RULE)), lambda r: r["pattern"]))
     pattern = lambda p, anchored=False: pt.compiled(t(p), anchored)
     sections = F.transform(F.coalesce(ty(SECTION, "$.structure.expected_sections"), F.array().cast(SECTION)), lambda s: F.struct(
-        s["section_id"].alias("id"), pt.numbered(s["marker_pattern"]).alias("regex"), F.coalesce(s["required"], F.lit(True)).alias("required")))
+        s["section_id"].alias("id"), pt.compiled(s["marker_pattern"])["regex"].alias("regex"), F.coalesce(s["required"], F.lit(True)).alias("required")))
     return profiles.withColumn("_d", contracts.parsed(F.col(doc))).select(
         t("$.profile_id").alias("profile_id"), contracts.lint(F.col(doc)).alias("profile_errors"),
         F.coalesce(t("$.filename.transport"), F.lit("filename")).alias("transport"),

@@ -57,6 +57,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the session names none (tests, a laptop) is a fresh local folder used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quaycheck.functions.common import call
 
@@ -34,15 +35,26 @@ def append_runs(reports: DataFrame, path: str, by: str = "business_date") -> Non
     reports.hint("rebalance", F.col(by)).write.mode("append").partitionBy(by).parquet(path)
 
 
-def new_runs_only(reports: DataFrame, stored: DataFrame, run: str = "run_id") -> DataFrame:
-    """Reports whose run is not stored yet: a replayed batch appends nothing twice."""
+def new_runs_only(reports: DataFrame, stored: DataFrame, run: str = "run_id", by: str = "business_date") -> DataFrame:
+    """Reports whose run is not stored yet, each once: a replayed or repeated landing appends nothing twice.
+
+    Where both have the partition column, only the stored dates that the reports name are read.
+    """
+    reports = reports.dropDuplicates([run])
+    if by in reports.columns and by in stored.columns:
+        stored = stored.join(reports.select(by).distinct(), by, "left_semi")
     return reports.join(stored.select(run), run, "left_anti")
 
 
-def align(rows: DataFrame, target: list[str]) -> DataFrame:
-    """Columns the target has, in its order; unknown ones are dropped, missing ones become null."""
+def align(rows: DataFrame, target: StructType | list[str]) -> DataFrame:
+    """The target's columns in its order and types; unknown ones are dropped, missing ones become null of their type.
+
+    A target of names alone leaves types as they are.
+    """
     have = set(rows.columns)
-    return rows.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in target])
+    if not isinstance(target, StructType):
+        return rows.select(*[F.col(n) if n in have else F.lit(None).alias(n) for n in target])
+    return rows.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in target])
 
 
 def as_list(text: Column) -> Column:

@@ -36,6 +36,8 @@ def evaluate_stream(landings: DataFrame, score: Callable[[DataFrame], DataFrame]
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             reports = control.new_runs_only(reports, spark.read.schema(reports.schema).parquet(target))
+        else:
+            reports = reports.dropDuplicates(["run_id"])
         control.append_runs(reports, target)
 
     writer = landings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -50,11 +52,12 @@ def distinct_payloads(landings: DataFrame, checksum: str, arrived: str, delay: s
 def set_progress(landings: DataFrame, keys: list[str], member: str, arrived: str, delay: str, members: Column) -> DataFrame:
     """Members present per set so far, updated as files arrive (update mode).
 
-    State per set is the set of wanted members, bounded by the contract; sets older than the
-    watermark leave the state.
+    Windows of two days start every day, so members less than a day apart share one whatever the hour; a set has passed
+    once one of its windows has. State per window is the set of wanted members, bounded by the contract; windows
+    older than the watermark leave the state.
     """
     seen = landings.withWatermark(arrived, delay).where(F.array_contains(members, F.col(member)))
-    per_set = seen.groupBy(F.window(arrived, "1 day").alias("day"), *keys).agg(F.collect_set(member).alias("present"))
+    per_set = seen.groupBy(F.window(arrived, "2 days", "1 day").alias("day"), *keys).agg(F.collect_set(member).alias("present"))
     return per_set.withColumn("missing", F.array_except(members, "present")).withColumn(
         "verdict", F.when(F.size("missing") > 0, "HOLD").otherwise("PASS"))
 
@@ -77,28 +80,28 @@ def released_sets(landings: DataFrame, key: str, member: str, members: list[str]
             self.present = handle.getMapState("present", "member string", "seen boolean")
             self.done = handle.getValueState("done", "done boolean")
 
-        def handleInputRows(self, set_key, rows, timer_values) -> Iterator[pd.DataFrame]:
-            if self.done.exists():
-                return
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            latest = timerValues.getCurrentWatermarkInMs()
+            fresh = not list(self.handle.listTimers())
             for batch in rows:
+                latest = max(latest, int(batch[arrived].max().timestamp() * 1000))
                 for m in set(batch[member]):
                     if m in wanted:
                         self.present.updateValue((m,), (True,))
+            if fresh:  # from the files' own time, also for a set complete at once, so that its state ends
+                self.handle.registerTimer(latest + patience_ms)
             have = sorted(k[0] for k in self.present.keys())
-            if have == wanted:
+            if have == wanted and not self.done.exists():
                 self.done.update((True,))
-                self.present.clear()
-                yield pd.DataFrame({"set_key": [set_key[0]], "verdict": ["PASS"], "members": [",".join(have)]})
-            elif not list(self.handle.listTimers()):
-                self.handle.registerTimer(timer_values.getCurrentWatermarkInMs() + patience_ms)
+                yield pd.DataFrame({"set_key": [key[0]], "verdict": ["PASS"], "members": [",".join(have)]})
 
-        def handleExpiredTimer(self, set_key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             have = sorted(k[0] for k in self.present.keys())
             was_done = self.done.exists()
             self.present.clear()
             self.done.clear()
             if not was_done:
-                yield pd.DataFrame({"set_key": [set_key[0]], "verdict": ["EXPIRED"], "members": [",".join(have)]})
+                yield pd.DataFrame({"set_key": [key[0]], "verdict": ["EXPIRED"], "members": [",".join(have)]})
 
         def close(self) -> None:
             pass
@@ -109,14 +112,19 @@ def released_sets(landings: DataFrame, key: str, member: str, members: list[str]
 
 def sla_ticks(spark: SparkSession, check: Callable[[], DataFrame], target: str, checkpoint: str, every: str = "15 minutes",
               once: bool = False) -> StreamingQuery:
-    """Runs the delivery check on a schedule; each tick reads the run history anew, so late files count."""
+    """Runs the delivery check on a schedule; each tick reads the run history anew, so late files count.
+
+    `check` returns run rows of missing deliveries, as `sla.missing_delivery_runs` makes them.
+    """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(_batch: DataFrame, _batch_id: int) -> None:
-        events = check().where(F.col("event_type") == "MISSING_DELIVERY")
+        events = check().where(F.col("overall_outcome") == "MISSING_DELIVERY")
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             events = control.new_runs_only(events, spark.read.schema(events.schema).parquet(target))
+        else:
+            events = events.dropDuplicates(["run_id"])
         events.write.mode("append").parquet(target)
 
     writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
