@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from fixtures import SET, pos_body, pos_contract, pos_name
+from fixtures import OTHER_QUAY, QUAY, SET, pos_body, pos_contract, pos_name
 from pyspark.sql import functions as F
 
 from quaycheck.operators import contracts
@@ -13,11 +13,12 @@ from quaycheck.plans import gate
 LANDED = "file_id string, batch_id string, property_id string, contract_id string, filename string, path string, content binary"
 HISTORY = ("run_id string, property_id string, report_type string, business_date date, overall_outcome string,"
            " checksum_sha256 string, row_count bigint, net_amount double")
-LAKE = {"feed_category": "lake", "profile_id": "s3parquet", "property_code": "ESMA.MALAG",
-        "object_landing": {"format": "parquet", "partition_path": "raw/{property}/pos/dt={date}/", "require_commit_marker": True}}
-CSV = {"feed_category": "pos", "property_code": "ESMA.MALAG",
-       "filename": {"pattern": r"^(?P<property>[A-Z.]+)_(?P<date>\d{8})_(?P<report_type>[a-z_]+)\.csv$", "path_agree": False},
+LAKE = {"feed_category": "lake", "profile_id": "s3parquet", "property_code": QUAY,
+        "object_landing": {"format": "parquet", "partition_path": "zone/{property}/till/day={date}/", "require_commit_marker": True}}
+CSV = {"feed_category": "pos", "property_code": QUAY,
+       "filename": {"pattern": r"^(?P<report_type>[a-z]+)@(?P<property>[A-Z0-9-]+)@(?P<date>\d{8})\.csv$", "path_agree": False},
        "file_format": {"encoding": "utf-8", "delimiter": ","}}
+ALONE = {"is_multi_file": False, "required_endpoints": []}
 
 
 def csv(**over):
@@ -26,69 +27,74 @@ def csv(**over):
 
 CONTRACTS = {
     "pos": pos_contract(),
-    "single": pos_contract(atomic_set={"is_multi_file": False, "required_endpoints": []}),
-    "path": pos_contract(filename={"path_agree": True, "path_pattern": r"raw/(?<property>[A-Z.]+)/(?<date>\d{4}-\d{2}-\d{2})/"},
-                         atomic_set={"is_multi_file": False, "required_endpoints": []}),
+    "single": pos_contract(atomic_set=ALONE),
+    "path": pos_contract(filename={"path_agree": True, "path_pattern": r"till/(?<date>\d{8})/(?<property>[A-Z0-9-]+)/"}, atomic_set=ALONE),
     "lake": json.dumps(LAKE),
-    "jsonl": json.dumps({**LAKE, "object_landing": {"format": "jsonl", "partition_path": "raw/{property}/pos/dt={date}/",
-                                                    "watermark_column": "_ingested_at", "require_commit_marker": False}}),
-    "delta": json.dumps({**LAKE, "object_landing": {"format": "Delta", "partition_path": "raw/{property}/pos/", "require_commit_marker": True}}),
+    "jsonl": json.dumps({**LAKE, "object_landing": {"format": "jsonl", "partition_path": "zone/{property}/till/day={date}/",
+                                                    "watermark_column": "seen_at", "require_commit_marker": False}}),
+    "delta": json.dumps({**LAKE, "object_landing": {"format": "Delta", "partition_path": "zone/{property}/berths/", "require_commit_marker": True}}),
     "csv": csv(),
-    "quality": csv(gate_3={"required_columns": ["check_id", "amount"], "numeric_columns": ["amount"], "non_null_columns": ["check_id"],
-                           "numeric_ranges": [{"column": "amount", "min_value": 0, "max_value": 100000}]}),
+    "quality": csv(gate_3={"required_columns": ["ticket", "fare"], "numeric_columns": ["fare"], "non_null_columns": ["ticket"],
+                           "numeric_ranges": [{"column": "fare", "min_value": 0, "max_value": 900}]}),
     "footers": csv(row_classification={
-        "header_patterns": ["^check_id,"], "footer_patterns": [r"^\*\*\* END OF REPORT \*\*\*", "^TOTAL:", r"^TRL\|COUNT\|"],
-        "row_count_declaration": {"pattern": r"^TRL\|COUNT\|(?P<declared_row_count>\d+)"}}),
+        "header_patterns": ["^ticket,"], "footer_patterns": ["^all fares", "^-- close", r"^n=\d+$"],
+        "row_count_declaration": {"pattern": r"^n=(?P<declared_row_count>\d+)$"}}),
     "cents": csv(gate_4={"max_variance": 0.01}),
-    "badregex": csv(filename={"pattern": "^(unclosed", "path_agree": False}),
-    "latin": csv(file_format={"encoding": "utf-8", "delimiter": ",", "allow_encoding_fallback": True}),
-    "dow": csv(gate_2={"enforce_dow_baseline": True, "rolling_window_days": 60, "min_historical_samples": 3}),
+    "badregex": csv(filename={"pattern": "^[a-z", "path_agree": False}),
+    "nordic": csv(file_format={"encoding": "utf-8", "delimiter": ",", "allow_encoding_fallback": True}),
     "spike": csv(gate_2={"rolling_window_days": 45, "max_z_score": 2.5}),
 }
-OLD = "ESMA.MALAG_20260809_headers_data.csv"
-BODY = b"check_id,amount\n1,10.00\n2,20.00\n"
-KEY = "landing-zone/raw/ESMA.MALAG/pos/dt=2026-08-09/"
+DAY = dt.date(2025, 3, 14)
+FLAT_ROWS = 60
+OLD = f"tickets@{QUAY}@20250314.csv"
+BODY = b"ticket,fare\n81,4.25\n82,6.75\n"
+TWICE, DRIFTED = b"ticket,deck\n44,upper\n", b"ticket,deck\n44,car\n"
+KEY = f"harbour/zone/{QUAY}/till/day=2025-03-14/"
+
+
+def counted(rows):
+    return ("ticket,deck\n" + "9,car\n" * rows).encode()
+
 
 FILES = [
     # file_id, batch, contract, filename, path, content
-    ("h", "full", "pos", pos_name("headers_data"), None, pos_body()),
-    ("s", "full", "pos", pos_name("sales_data"), None, pos_body(4)),
-    ("p", "full", "pos", pos_name("payments_data"), None, pos_body(5)),
-    ("held", "alone", "pos", pos_name("sales_data"), None, pos_body()),
-    ("badname", "full", "pos", "random.csv", None, pos_body()),
-    ("stranger", "full", "pos", pos_name("tips_data"), None, pos_body()),
-    ("otherprop", "full", "pos", pos_name("sales_data", prop="ESMA.OTHER"), None, pos_body()),
-    ("declared", "d", "single", pos_name("sales_data"), None, pos_body(3, 5)),
-    ("zero", "d", "single", pos_name("sales_data"), None, b""),
-    ("headeronly", "d", "single", pos_name("sales_data"), None, b"check_id|amount|guest\r\nEOF\r\n"),
-    ("latin", "d", "single", pos_name("sales_data"), None, b"check_id|guest\r\n1|M\xfcller\r\n"),
-    ("noise", "d", "single", "._sales_data.csv", "__MACOSX/._sales_data.csv", pos_body()),
-    ("pathok", "d", "path", pos_name("sales_data"), "s3://b/raw/ESMA.MALAG/2026-08-09/x.csv", pos_body()),
-    ("pathbad", "d", "path", pos_name("sales_data"), "s3://b/raw/ESMA.OTHER/2026-08-09/x.csv", pos_body()),
-    ("lakeok", "l", "lake", "part-0.parquet", KEY + "part-0.parquet", b"PAR1"),
-    ("lakehold", "l", "lake", "part-1.parquet", KEY.replace("08-09", "08-10") + "part-1.parquet", b"PAR1"),
-    ("jsonlok", "l", "jsonl", "a.jsonl", KEY + "a.jsonl", b'\n{"_ingested_at": "x", "v": 1}\n'),
-    ("jsonlbad", "l", "jsonl", "b.jsonl", KEY + "b.jsonl", b'{"v": 1}\n'),
-    ("delta", "l", "delta", "part-2.parquet", "raw/ESMA.MALAG/pos/part-2.parquet", b"PAR1"),
-    ("poison", "q", "quality", OLD, None, b"check_id,amount\nA1,10.00\nA2,20.50\nA3,ERR\nA4,5.00\n"),
-    ("nullrow", "q", "quality", OLD, None, b'check_id,amount\n,10.00\n"A,2",20.50\n'),
-    ("range", "q", "quality", OLD, None, b"check_id,amount\nA1,-1\nA2,5\n"),
-    ("nocol", "q", "quality", OLD, None, b"check_id,total\nA1,1\n"),
-    ("clean", "q", "quality", OLD, None, b"check_id,amount\nA1,1\nA2,5\n"),
-    ("footers", "q", "footers", OLD, None,
-     b"check_id,amount,guest\n1,10.00,Ada\n2,20.00,Grace\n3,30.00,Alan\nTOTAL: 60.00\n*** END OF REPORT ***\nTRL|COUNT|3\n"),
-    ("split", "q", "cents", OLD, None, b"check_total,tender_payment,net_sales\n100.00,33.33,100.00\n,33.33,\n,33.34,\n"),
-    ("imbalance", "q", "cents", OLD, None, b"tender_payment,net_sales\n100.00,150.00\n42.50,0\n"),
-    ("headline", "q", "cents", OLD, None, b"header_total,line_item_amount,tax\n11.00,5.00,0.50\n99.00,5.00,0.49\n"),
+    ("t", "full", "pos", pos_name("tickets"), None, pos_body()),
+    ("b", "full", "pos", pos_name("boardings"), None, pos_body(6)),
+    ("r", "full", "pos", pos_name("refunds"), None, pos_body(1)),
+    ("held", "alone", "pos", pos_name("boardings"), None, pos_body()),
+    ("badname", "full", "pos", "tide table.psv", None, pos_body()),
+    ("stranger", "full", "pos", pos_name("parcels"), None, pos_body()),
+    ("otherquay", "full", "pos", pos_name("boardings", prop=OTHER_QUAY), None, pos_body()),
+    ("declared", "d", "single", pos_name("tickets"), None, pos_body(4, 9)),
+    ("zero", "d", "single", pos_name("tickets"), None, b""),
+    ("headeronly", "d", "single", pos_name("tickets"), None, b"ticket;fare;deck\r\n-- close\r\n"),
+    ("nordic", "d", "single", pos_name("tickets"), None, b"ticket;rider\r\n7;Bj\xf8rn\r\n"),
+    ("noise", "d", "single", "._tickets.psv", "__MACOSX/._tickets.psv", pos_body()),
+    ("pathok", "d", "path", pos_name("tickets"), f"s3://quay/till/20250314/{QUAY}/x.psv", pos_body()),
+    ("pathbad", "d", "path", pos_name("tickets"), f"s3://quay/till/20250314/{OTHER_QUAY}/x.psv", pos_body()),
+    ("lakeok", "l", "lake", "a0.parquet", KEY + "a0.parquet", b"PAR1"),
+    ("lakehold", "l", "lake", "a1.parquet", KEY.replace("03-14", "03-15") + "a1.parquet", b"PAR1"),
+    ("jsonlok", "l", "jsonl", "m.jsonl", KEY + "m.jsonl", b'\n{"deck": 2, "seen_at": "06:10"}\n'),
+    ("jsonlbad", "l", "jsonl", "n.jsonl", KEY + "n.jsonl", b'{"deck": 2}\n'),
+    ("delta", "l", "delta", "a2.parquet", f"zone/{QUAY}/berths/a2.parquet", b"PAR1"),
+    ("poison", "q", "quality", OLD, None, b"ticket,fare\nK1,4.25\nfree,n.a.x\nK3,6.00\n"),
+    ("nullrow", "q", "quality", OLD, None, b'ticket,fare\nK1,2.00\n,4.25\n"K,2",6.75\n'),
+    ("range", "q", "quality", OLD, None, b"ticket,fare\nK1,12\nK2,901\n"),
+    ("nocol", "q", "quality", OLD, None, b"ticket,price\nK1,3\n"),
+    ("clean", "q", "quality", OLD, None, b"ticket,fare\nK1,3\nK2,900\n"),
+    ("footers", "q", "footers", OLD, None, b"ticket,fare,rider\n81,4.00,Ove\n82,6.50,Siv\n83,3.25,Liv\n84,1.00,Bo\nall fares 14.75\n-- close --\nn=4\n"),
+    ("split", "q", "cents", OLD, None, b"check_total,tender_payment,net_sales\n31.00,12.40,31.00\n,7.15,\n,11.45,\n"),
+    ("imbalance", "q", "cents", OLD, None, b"tender_payment,net_sales\n61.10,68.00\n5.40,2.00\n"),
+    ("headline", "q", "cents", OLD, None, b"header_total,line_item_amount,tax\n24.00,9.50,1.20\n7.00,12.00,1.29\n"),
     ("badregex", "q", "badregex", OLD, None, BODY),
-    ("fallback", "q", "latin", OLD, None, b"check_id,guest\n1,M\xfcller\n"),
-    ("dup", "q", "csv", "ESMA.MALAG_20260809_dup_data.csv", None, b"check_id,x\n1,10.00\n"),
-    ("drift", "q", "csv", "ESMA.MALAG_20260809_drift_data.csv", None, b"check_id,x\n1,11.00\n"),
-    ("frozen", "q", "csv", "ESMA.MALAG_20260601_sales_data.csv", None, b"check_id,x\n1,11.00\n"),
-    ("spike", "q", "spike", "ESMA.MALAG_20260811_vol_data.csv", None, ("check_id,x\n" + "1,1\n" * 2999).encode()),
-    ("cold", "q", "spike", "ESMA.MALAG_20260811_new_data.csv", None, ("check_id,x\n" + "1,1\n" * 249).encode()),
-    ("flat", "q", "csv", "ESMA.MALAG_20260811_flat_data.csv", None, ("check_id,x\n" + "1,1\n" * 99).encode()),
-    ("offflat", "q", "csv", "ESMA.MALAG_20260811_flat_data.csv", None, ("check_id,x\n" + "1,1\n" * 98).encode()),
+    ("fallback", "q", "nordic", OLD, None, b"ticket,rider\n7,Bj\xf8rn\n"),
+    ("dup", "q", "csv", f"twice@{QUAY}@20250314.csv", None, TWICE),
+    ("drift", "q", "csv", f"drift@{QUAY}@20250314.csv", None, DRIFTED),
+    ("frozen", "q", "csv", f"tickets@{QUAY}@20241220.csv", None, DRIFTED),
+    ("spike", "q", "spike", f"volume@{QUAY}@20250316.csv", None, counted(2600)),
+    ("cold", "q", "spike", f"fresh@{QUAY}@20250316.csv", None, counted(310)),
+    ("flat", "q", "csv", f"flat@{QUAY}@20250316.csv", None, counted(59)),
+    ("offflat", "q", "csv", f"flat@{QUAY}@20250316.csv", None, counted(57)),
 ]
 
 
@@ -99,25 +105,24 @@ def expected_hash(body):
 
 
 def history_rows():
-    d = dt.date
-    rows = [("r1", "ESMA.MALAG", "dup_data", d(2026, 8, 1), "RELEASED_TO_ETL", expected_hash(b"check_id,x\n1,10.00\n"), 100, None),
-            ("r2", "ESMA.MALAG", "drift_data", d(2026, 8, 9), "PASS", "f" * 64, 100, None)]
-    for i in range(10):
-        rows.append((f"v{i}", "ESMA.MALAG", "vol_data", d(2026, 8, 1) - dt.timedelta(days=i), "PASS", f"{i:064d}", 1000 + (i % 3) * 10, None))
-        rows.append((f"f{i}", "ESMA.MALAG", "flat_data", d(2026, 8, 10) - dt.timedelta(days=i), None, f"{i + 50:064d}", 100, None))
-    rows += [("c1", "ESMA.MALAG", "new_data", d(2026, 8, 3), "PASS", "0" * 64, 100, None),
-             ("c2", "ESMA.MALAG", "new_data", d(2026, 7, 27), "PASS", "1" * 64, 100, None)]
+    before = lambda days: DAY - dt.timedelta(days=days)
+    rows = [("one", QUAY, "twice", before(5), "RELEASED_TO_ETL", expected_hash(TWICE), 40, None),
+            ("two", QUAY, "drift", DAY, "PASS", "e" * 64, 40, None)]
+    for i in range(12):
+        rows.append((f"v{i}", QUAY, "volume", before(3 + i), "PASS", f"{i:064d}", 800 + (i % 4) * 7, None))
+        rows.append((f"f{i}", QUAY, "flat", before(i), None, f"{i + 50:064d}", FLAT_ROWS, None))
+    rows += [(f"n{i}", QUAY, "fresh", before(4 + 6 * i), "PASS", str(i) * 64, 90, None) for i in range(2)]
     return rows
 
 
 @pytest.fixture(scope="module")
 def run(spark):
-    landed = spark.createDataFrame([(i, b, "ESMA.MALAG", c, n, p, body) for i, b, c, n, p, body in FILES], LANDED)
+    landed = spark.createDataFrame([(i, b, QUAY, c, n, p, body) for i, b, c, n, p, body in FILES], LANDED)
     docs = spark.createDataFrame(list(CONTRACTS.items()), "contract_id string, doc string")
     history = spark.createDataFrame(history_rows(), HISTORY)
-    inventory = spark.createDataFrame([(KEY + "_SUCCESS",), ("raw/ESMA.MALAG/pos/_delta_log/0.json",)], "object_key string")
+    inventory = spark.createDataFrame([(KEY + "_SUCCESS",), (f"zone/{QUAY}/berths/_delta_log/0.json",)], "object_key string")
     return gate.evaluate(landed, contracts.normalise(docs, "contract_id", "doc"), history,
-                         F.lit(dt.date(2026, 8, 12)), inventory=inventory)
+                         F.lit(DAY + dt.timedelta(days=3)), inventory=inventory)
 
 
 @pytest.fixture(scope="module")
@@ -130,9 +135,9 @@ def check(report, gate_no, rule):
 
 
 @pytest.mark.parametrize("file_id,gate_one", [
-    ("h", "PASS"), ("s", "PASS"), ("p", "PASS"), ("held", "HOLD_SET"), ("badname", "QUARANTINE_FILE"), ("stranger", "QUARANTINE_FILE"),
-    ("otherprop", "QUARANTINE_FILE"), ("declared", "QUARANTINE_FILE"), ("zero", "QUARANTINE_FILE"), ("headeronly", "QUARANTINE_FILE"),
-    ("latin", "REJECT_FILE"), ("noise", "QUARANTINE_FILE"), ("pathok", "PASS"), ("pathbad", "QUARANTINE_FILE"), ("lakeok", "PASS"),
+    ("t", "PASS"), ("b", "PASS"), ("r", "PASS"), ("held", "HOLD_SET"), ("badname", "QUARANTINE_FILE"), ("stranger", "QUARANTINE_FILE"),
+    ("otherquay", "QUARANTINE_FILE"), ("declared", "QUARANTINE_FILE"), ("zero", "QUARANTINE_FILE"), ("headeronly", "QUARANTINE_FILE"),
+    ("nordic", "REJECT_FILE"), ("noise", "QUARANTINE_FILE"), ("pathok", "PASS"), ("pathbad", "QUARANTINE_FILE"), ("lakeok", "PASS"),
     ("lakehold", "HOLD_SET"), ("jsonlok", "PASS"), ("jsonlbad", "QUARANTINE_FILE"), ("delta", "PASS"), ("footers", "PASS"),
     ("badregex", "QUARANTINE_FILE"), ("fallback", "PASS"),
 ])
@@ -146,17 +151,17 @@ def test_every_file_is_reported_once(run, reports):
 
 def test_line_accounting_keeps_footers_out(reports):
     d = check(reports["footers"], 1, "line_conservation")["details"]
-    assert (d["data_lines"], d["footer_lines"], d["declared_count"]) == ("3", "3", "3")
+    assert (d["data_lines"], d["footer_lines"], d["declared_count"]) == ("4", "3", "4")
 
 
 def test_encoding_failure_names_the_byte(reports):
-    e = check(reports["latin"], 1, "physical_integrity")
-    assert not e["passed"] and e["details"]["offending_byte"] == "fc" and e["details"]["error_start"] == "19"
-    assert [x["skipped"] for x in reports["latin"]["g1"] if x["rule_name"] == "atomic_set"] == [True]
+    e = check(reports["nordic"], 1, "physical_integrity")
+    assert not e["passed"] and e["details"]["offending_byte"] == "f8" and e["details"]["error_start"] == "18"
+    assert [x["skipped"] for x in reports["nordic"]["g1"] if x["rule_name"] == "atomic_set"] == [True]
 
 
 def test_hold_names_what_is_missing(reports):
-    assert check(reports["held"], 1, "atomic_set")["details"]["missing_endpoints"] == ",".join(x for x in SET if x != "sales_data")
+    assert check(reports["held"], 1, "atomic_set")["details"]["missing_endpoints"] == ",".join(x for x in SET if x != "boardings")
 
 
 def test_noise_and_empty_files_list_one_finding(reports):
@@ -166,7 +171,7 @@ def test_noise_and_empty_files_list_one_finding(reports):
 
 
 def test_gate_two_is_skipped_for_blocked_files_only(reports):
-    assert reports["latin"]["g2"][0]["rule_name"] == "G2_SKIPPED"
+    assert reports["nordic"]["g2"][0]["rule_name"] == "G2_SKIPPED"
     assert len(reports["held"]["g2"]) == 4
 
 
@@ -194,20 +199,20 @@ def test_quality(reports, file_id, rule):
 
 def test_violations_name_row_and_value(run):
     rows = {(r.file_id, r.rule_name, r.row_no, r.column, r.value) for r in run.violations.collect()}
-    assert ("poison", "numeric_column_integrity", 2, "amount", "ERR") in rows
-    assert ("nullrow", "non_null_constraints", 0, "check_id", None) in rows
+    assert ("poison", "numeric_column_integrity", 1, "fare", "n.a.x") in rows
+    assert ("nullrow", "non_null_constraints", 1, "ticket", None) in rows
 
 
 def test_revenue(reports):
     assert reports["split"]["g4_outcome"] == "PASS"
-    assert reports["headline"]["g4_outcome"] == "PASS"  # 10.99 vs 11.00 is inside one cent
+    assert reports["headline"]["g4_outcome"] == "PASS"  # 23.99 of 24.00: one cent is allowed
     assert reports["imbalance"]["g4_outcome"] == "REJECT_FILE"
-    assert "Variance: 7.50" in check(reports["imbalance"], 4, "sales_vs_tender_balance")["message"]
+    assert "Variance: 3.50" in check(reports["imbalance"], 4, "sales_vs_tender_balance")["message"]
 
 
 def test_readiness(reports):
-    assert (reports["latin"]["readiness"]["readiness_pct"], reports["latin"]["readiness"]["quarantined_rows"]) == (0.0, 1)
-    assert reports["h"]["readiness"]["readiness_pct"] == 100.0
+    assert (reports["nordic"]["readiness"]["readiness_pct"], reports["nordic"]["readiness"]["quarantined_rows"]) == (0.0, 1)
+    assert reports["t"]["readiness"]["readiness_pct"] == 100.0
 
 
 def test_manifest(run):
@@ -216,7 +221,7 @@ def test_manifest(run):
     assert (poison.affected_rows, poison.is_file_level, poison.suggested_category) == (1, False, "DATA_QUALITY_BUG")
     money = items["imbalance", "G4_FINANCIAL_IMBALANCE"]
     assert (money.affected_rows, money.is_file_level, money.suggested_category) == (0, True, "UNBALANCED_REVENUE")
-    assert items["latin", "G1_PHYSICAL_INTEGRITY"].suggested_category == "DATA_QUALITY_BUG"
+    assert items["nordic", "G1_PHYSICAL_INTEGRITY"].suggested_category == "DATA_QUALITY_BUG"
     assert {f for f, _ in items} == {r.file_id for r in run.reports.where("overall_outcome <> 'PASS'").collect()}
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 import json
 
 import pytest
-from fixtures import PROFILE, shell_body
+from fixtures import KINDS, PROFILE, shell_body
 from pyspark.sql import functions as F
 
 from quaycheck.plans import shell
@@ -13,42 +13,45 @@ from quaycheck.plans import shell
 FILES = "file_id string, batch_id string, profile_id string, filename string, path string, content binary, manifest_text string"
 
 
-def name(kind, prop="PROP102", seq="01"):
-    return f"{kind}_{prop}_20260809_{seq}.csv"
+def name(kind, prop="Q204", tide="1"):
+    return f"{prop}-14032025-{tide}-{kind}.log"
 
 
 def full(prefix, batch, body_of):
-    return [(f"{prefix}{i}", batch, "nightly_v5", name(f"TSA0{i}"), None, body_of(f"TSA0{i}"), None) for i in range(1, 7)]
+    return [(f"{prefix}{k}", batch, "berth_log", name(k), None, body_of(k), None) for k in KINDS]
 
 
 @pytest.fixture(scope="module")
 def reports(spark):
     broken = copy.deepcopy(PROFILE)
-    broken.update(profile_id="BAD-ID")
+    broken.update(profile_id="Berth Log")
     del broken["filename"]["transport"]
     by_path = copy.deepcopy(PROFILE)
-    by_path.update(profile_id="by_path", atomic_sets=[])
-    by_path["filename"] = {"transport": "uri_path", "required_groups": ["property"], "uri_path_pattern": r"/in/(?P<property>[A-Z0-9]+)/"}
+    by_path.update(profile_id="by_quay", atomic_sets=[])
+    by_path["filename"] = {"transport": "uri_path", "required_groups": ["property"], "uri_path_pattern": r"quays/(?P<property>Q\d{3})/"}
     profiles = shell.normalise_profiles(spark.createDataFrame([(json.dumps(p),) for p in (PROFILE, by_path)], "doc string"), "doc")
     bad = shell.normalise_profiles(spark.createDataFrame([(json.dumps(broken),)], "doc string"), "doc")
-    rows = full("ok", "b1", lambda k: shell_body(kind=k)) + [
-        ("alone", "b2", "nightly_v5", name("TSA01"), None, shell_body(), None),
-        ("weird", "b3", "nightly_v5", "WEIRDFILE_NOT_OPERA.txt", None, shell_body(), None),
-        ("misfiled", "b4", "nightly_v5", name("TSA01"), None, shell_body(prop="PROP200"), None),
-        ("unknown", "b4", "nightly_v5", name("TSA01", "PROP999"), None, shell_body(prop="PROP999"), None),
-        ("inactive", "b4", "nightly_v5", name("TSA01", "PROP300"), None, shell_body(prop="PROP300"), None),
-        ("lf", "b5", "nightly_v5", name("TSA01"), None, shell_body().replace(b"\r\n", b"\n"), None),
-        ("empty", "b6", "nightly_v5", name("TSA01"), None, b"", None),
-        ("nul", "b7", "nightly_v5", name("TSA01"), None, shell_body().replace(b"BAR", b"B\x00R"), None),
-        ("future", "b8", "nightly_v5", name("TSA01"), None, shell_body().replace(b"DAT|2026-08-09|BAR", b"DAT|2026-09-09|BAR"), None),
-        ("fewslots", "b9", "by_path", "x.csv", "/in/PROP102/x.csv", shell_body().replace(b"UDF04=d|", b""), None),
-        ("moreslots", "b9", "by_path", "y.csv", "/in/PROP102/y.csv", shell_body().replace(b"UDF04=d|", b"UDF04=d|UDF05=e|"), None),
-        ("nosection", "b9", "by_path", "z.csv", "/in/PROP102/z.csv", shell_body().replace(b"SEC|TAX_RECAP|", b"SEC|OTHER|"), None),
-        ("broken", "b9", "BAD-ID", "z.csv", "/in/PROP102/z.csv", shell_body(), None),
-    ] + full("short", "b10", lambda k: shell_body(declare=14, kind=k))
-    registry = spark.createDataFrame([("PROP102", True, None), ("PROP200", True, "nightly_v5"), ("PROP300", False, None)],
+    body = shell_body()
+    single = lambda i, content, prop="Q204": (i, f"batch-{i}", "berth_log", name("LA", prop), None, content, None)
+    pathed = lambda i, content, profile="by_quay": (i, f"batch-{i}", profile, f"{i}.log", f"/up/quays/Q204/{i}.log", content, None)
+    rows = full("ok", "whole", lambda k: shell_body(kind=k)) + full("short", "counts", lambda k: shell_body(declare=14, kind=k)) + [
+        single("alone", body),
+        ("weird", "batch-weird", "berth_log", "notes from the pier.txt", None, body, None),
+        single("misfiled", shell_body(prop="Q311")),
+        single("unknown", shell_body(prop="Q999"), "Q999"),
+        single("inactive", shell_body(prop="Q450"), "Q450"),
+        single("lf", body.replace(b"\r\n", b"\n")),
+        single("empty", b""),
+        single("nul", body.replace(b"mole", b"m\x00le")),
+        single("future", body.replace(b"2025-03-14;mole", b"2025-04-02;mole")),
+        pathed("fewslots", body.replace(b";k3=s", b"")),
+        pathed("moreslots", body.replace(b";k3=s", b";k3=s;k4=t")),
+        pathed("nosection", body.replace(b"part;dues", b"part;tolls")),
+        pathed("broken", body, "Berth Log"),
+    ]
+    registry = spark.createDataFrame([("Q204", True, None), ("Q311", True, "berth_log"), ("Q450", False, None)],
                                      "property_id string, active boolean, pms_profile string")
-    out = shell.evaluate(spark.createDataFrame(rows, FILES), profiles.unionByName(bad), registry, F.lit(dt.date(2026, 8, 10)))
+    out = shell.evaluate(spark.createDataFrame(rows, FILES), profiles.unionByName(bad), registry, F.lit(dt.date(2025, 3, 15)))
     return {r["file_id"]: r for r in out.collect()}
 
 
@@ -57,19 +60,19 @@ def status(report):
 
 
 def test_complete_set_passes(reports):
-    r = reports["ok1"]
+    r = reports["okLA"]
     assert r["overall_outcome"] == "PASS" and set(status(r).values()) == {"PASS"} and len(r["evaluations"]) == 7
-    assert (r["total_read_rows"], r["header_footer_rows"], r["accepted_rows"], r["rejected_rows"], r["ignored_rows"], r["quarantined_rows"]) == (11, 3, 4, 1, 3, 0)
-    assert r["business_date"] == dt.date(2026, 8, 9) and r["declared_total"] == 11 and r["slots_detected"] == 4
+    assert (r["total_read_rows"], r["header_footer_rows"], r["accepted_rows"], r["rejected_rows"], r["ignored_rows"], r["quarantined_rows"]) == (12, 3, 5, 1, 3, 0)
+    assert r["business_date"] == dt.date(2025, 3, 14) and r["declared_total"] == 12 and r["slots_detected"] == 3
 
 
 def test_declared_mismatch(reports):
-    r = reports["short1"]
-    assert r["overall_outcome"] == "QUARANTINE_FILE" and r["unaccounted_rows"] == 3 and status(r)["R03_ROW_CONSERVATION"] == "FAIL"
+    r = reports["shortLA"]
+    assert r["overall_outcome"] == "QUARANTINE_FILE" and r["unaccounted_rows"] == 2 and status(r)["R03_ROW_CONSERVATION"] == "FAIL"
 
 
 def test_incomplete_set_holds(reports):
-    assert reports["alone"]["overall_outcome"] == "HOLD_SET" and "TSA02" in reports["alone"]["outcome_reason"]
+    assert reports["alone"]["overall_outcome"] == "HOLD_SET" and "LB, LC, LD" in reports["alone"]["outcome_reason"]
 
 
 @pytest.mark.parametrize("file_id", ["weird", "unknown", "inactive"])
@@ -97,8 +100,8 @@ def test_future_date(reports):
 
 def test_slots_and_sections(reports):
     assert reports["fewslots"]["overall_outcome"] == "FLAG" and status(reports["fewslots"])["R06_STRUCTURAL_UDF"] == "FLAG"
-    assert reports["moreslots"]["overall_outcome"] == "FLAG" and reports["moreslots"]["unmapped"] == ["UDF05"]
-    assert reports["nosection"]["overall_outcome"] == "QUARANTINE_FILE" and reports["nosection"]["missing_sections"] == ["TAX_RECAP"]
+    assert reports["moreslots"]["overall_outcome"] == "FLAG" and reports["moreslots"]["unmapped"] == ["k4"]
+    assert reports["nosection"]["overall_outcome"] == "QUARANTINE_FILE" and reports["nosection"]["missing_sections"] == ["DUES"]
 
 
 def test_broken_profile_rejects(reports):

@@ -5,7 +5,7 @@ import json
 import os
 
 import pytest
-from fixtures import pos_body, pos_contract, pos_name
+from fixtures import QUAY, SET, pos_body, pos_contract, pos_name
 from pyspark.sql import functions as F
 
 from quaycheck.functions.common import strings
@@ -64,21 +64,21 @@ def test_sets_release_once(spark, source, tmp_path):
 def test_evaluated_stream_appends_once(spark, tmp_path):
     folder, target = tmp_path / "land", str(tmp_path / "runs")
     folder.mkdir()
-    for kind in ("headers_data", "sales_data", "payments_data"):
+    for kind in SET:
         (folder / pos_name(kind)).write_bytes(pos_body())
     docs = contracts.normalise(spark.createDataFrame([("pos", pos_contract())], "contract_id string, doc string"), "contract_id", "doc")
     history = spark.createDataFrame([], "property_id string, report_type string, business_date date, overall_outcome string, checksum_sha256 string, row_count bigint, net_amount double")
 
     def score(batch):
         landed = batch.select(
-            F.col("path").alias("file_id"), F.lit("b").alias("batch_id"), F.lit("ESMA.MALAG").alias("property_id"), F.lit("pos").alias("contract_id"),
+            F.col("path").alias("file_id"), F.lit("b").alias("batch_id"), F.lit(QUAY).alias("property_id"), F.lit("pos").alias("contract_id"),
             F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("path"), "content")
-        return gate.stored_form(gate.evaluate(landed, docs, history, F.lit(dt.date(2026, 8, 12))).reports)
+        return gate.stored_form(gate.evaluate(landed, docs, history, F.lit(dt.date(2025, 3, 17))).reports)
 
     stream = landings.landed_files(spark, str(folder))
     landings.evaluate_stream(stream, score, target, str(tmp_path / "c1"), once=True).awaitTermination(240)
     first = {r.report_type: r.overall_outcome for r in spark.read.parquet(target).collect()}
-    assert first == {"headers_data": "PASS", "sales_data": "PASS", "payments_data": "PASS"}
+    assert first == dict.fromkeys(SET, "PASS")
     # a second run without its checkpoint replays the files and adds nothing
     landings.evaluate_stream(stream, score, target, str(tmp_path / "c2"), once=True).awaitTermination(240)
     assert spark.read.parquet(target).count() == 3
