@@ -29,8 +29,8 @@ from quaycheck.llm.common import staged
 from quaycheck.llm.pieces import SPECIAL, byte_spans, cut
 from quaycheck.llm.words import hashes, slices
 
-#: Distinct pieces a worker remembers before it starts anew.
-MEMORY = 1_000_000
+#: Distinct pieces a worker remembers before it starts anew: what bounds its memory.
+MEMORY = 200_000
 
 
 def grown(a: np.ndarray, size: int) -> np.ndarray:
