@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaycheck.llm import bpe, cover_tree, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, warc
+from quaycheck.llm import bpe, centroids, cover_tree, html_extract, language_id, lm_score, minhash_dedup, packing, quality_classifier, quality_rules, sentence_pieces, warc, whitening
 from quaycheck.llm.common import table
 from quaycheck.session import ship_package
 
@@ -24,6 +24,13 @@ def tokenizer_json(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def tokenizer_model(name: str) -> bytes:
+    """A public tokenizer's model file, half a MB of fixed size."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +118,45 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents with begin and end, and what they decode to, as digests; checked against the library."""
+    return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_model("piece_bpe_32k.model"), digests=True)
+
+
+def _rounds(n: int) -> str:
+    """Common table expressions of n rounds: nearest centroid of every vector, then centroids of the next round."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""d{i} AS (SELECT rid, min({{d: list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), k: k}}) AS best FROM kept, c{i} GROUP BY rid),
+ a{i} AS MATERIALIZED (SELECT rid, vec_id, x, best.k AS k, CAST(best.d AS BIGINT) AS distance FROM d{i} JOIN kept USING (rid))""")
+        if i < n:
+            out.append(f"""s{i} AS (SELECT k, dim, sum(v) AS s, count(*) AS n FROM (SELECT k, unnest(x)::BIGINT AS v, unnest(range(64)) AS dim FROM a{i}) GROUP BY k, dim),
+ m{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY dim) AS c FROM s{i} GROUP BY k),
+ c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    return ",\n ".join(out)
+
+
+SQL["op12_centroids"] = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x AS c FROM kept QUALIFY k < 8),
+ {_rounds(10)},
+ i AS (SELECT k, sum(distance)::BIGINT AS cluster_inertia FROM a10 GROUP BY k),
+ h AS (SELECT k, sha256(list_aggregate(list_transform(c, lambda e: e::BIGINT::VARCHAR), 'string_agg', ',')) AS centroid_sha256 FROM c10)
+SELECT vec_id, k::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a10) AS inertia, centroid_sha256 FROM a10 JOIN i USING (k) JOIN h USING (k)
+"""
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components after ten rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of all vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_wide")
