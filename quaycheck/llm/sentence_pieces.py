@@ -5,9 +5,9 @@ first, leftmost of equal ones. The top is taken; if both its symbols are still w
 pairs it forms with its neighbours are entered. What is left when the agenda is empty are the pieces; a sign without a
 piece is spelled by its bytes.
 
-Two signs that stand side by side in no piece can never be merged across, so a text is cut there first, before each
-run of space signs above all; a part's pieces do not depend on what surrounds it. Distinct parts are encoded once per
-worker and looked up by the part itself.
+Between two signs that stand side by side in no piece nothing is ever merged, so texts are cut there first, many texts in
+one array operation; a part's pieces do not depend on what surrounds it. Distinct parts are encoded once per worker and
+looked up by the part itself.
 
 Each slice of an Arrow batch is then checked against the sentencepiece library: ids and decoded texts must be equal, or
 the job fails with the first row's number that differs. `check=False` leaves the check out.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,10 +32,10 @@ from pyspark.sql import functions as F
 from quaycheck.llm.words import slices
 
 SPACE = "▁"
-#: Distinct parts a worker remembers before it starts anew; longer parts than LONG are encoded each time.
-MEMORY, LONG = 300_000, 200
-#: Parts of up to so many signs are not cut further.
-SHORT = 24
+#: Signs a worker's memory of distinct parts holds before it starts anew; each part counts for SLOT more.
+MEMORY, SLOT = 16_000_000, 30
+#: Bits of an agenda entry that hold the place; a text has at most 2^31 bytes.
+PLACE = (1 << 32) - 1
 #: Kinds of pieces, the merge type, and fields of the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
@@ -72,6 +71,19 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Parts(dict):
+    """Ids of the parts met so far; a new one is encoded when it is asked for. `size` is what they hold, in signs."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.size = vocabulary, 0
+
+    def __missing__(self, part: str) -> bytes:
+        self[part], self.vocabulary.said[part] = found = self.vocabulary.part(part)
+        self.size += SLOT + len(part)
+        return found[0]
+
+
 class Vocabulary:
     """Pieces, scores and rules of a model file; encodes and decodes single texts."""
 
@@ -92,69 +104,93 @@ class Vocabulary:
             raise ValueError("the model has user-defined or unused pieces")
         normal = [i for i, k in enumerate(self.kinds) if k == NORMAL]
         self.id = {self.pieces[i]: i for i in normal}
-        self.score = {self.pieces[i]: scores[i] for i in normal}
+        order = {s: k for k, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
+        self.rank = {self.pieces[i]: order[scores[i]] << 32 for i in normal}
         self.byte_value = {i: int(self.pieces[i][1:-1], 16) for i, k in enumerate(self.kinds) if k == BYTE}
         self.byte_id = {b: i for i, b in self.byte_value.items()}
         control = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == CONTROL}
         self.begin, self.end = control["<s>"], control["</s>"]
-        self.side_by_side = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        inside = any(p[1] == SPACE and p[0] != SPACE for p in self.side_by_side)
-        self.parts = re.compile(".+" if inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
+        self.written = {p: (np.array([i], "<u4").tobytes(), p.replace(SPACE, " ").encode()) for p, i in self.id.items()}
+        pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        signs = sorted({c for p in pairs for c in p})
+        self.sign = np.zeros(0x110000, np.uint16)  # 0: stands in no piece but alone
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.beside = np.zeros((len(signs) + 1, len(signs) + 1), bool)
+        for p in pairs:
+            self.beside[self.sign[ord(p[0])], self.sign[ord(p[1])]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        """Starts the memory of parts anew: what was found in it is kept by no one else."""
+        self.ids, self.said = Parts(self), {}
 
     def merged(self, part: str) -> list[str]:
-        """Symbols left of a text when no two neighbours form a piece."""
-        n, score = len(part), self.score
+        """Symbols left of a text when no two neighbours form a piece.
+
+        An entry of the agenda is a number, rank of the score before place of the left symbol. `due` holds the one entry
+        of each place that is still true; others are passed over when they come up.
+        """
+        n, rank = len(part), self.rank
         symbols, before, after = list(part), list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(-score[p], i, i + 1, 2) for i in range(n - 1) if (p := part[i : i + 2]) in score]
+        due = [*(rank.get(part[i : i + 2], -1 - i) + i for i in range(n - 1)), -1]
+        agenda = [e for e in due if e >= 0]
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or len(symbols[i]) + len(symbols[j]) != size:
+            entry = heapq.heappop(agenda)
+            i = entry & PLACE
+            if due[i] != entry:
                 continue
+            j = after[i]
             symbols[i] += symbols[j]
             symbols[j] = ""
+            due[j] = -1
             after[i] = k = after[j]
+            due[i] = e = rank.get(symbols[i] + symbols[k], -1 - i) + i if k >= 0 else -1
+            if e >= 0:
+                heapq.heappush(agenda, e)
             if k >= 0:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (p := symbols[a] + symbols[b]) in score:
-                    heapq.heappush(agenda, (-score[p], a, b, len(p)))
+            h = before[i]
+            if h >= 0:
+                due[h] = e = rank.get(symbols[h] + symbols[i], -1 - h) + h
+                if e >= 0:
+                    heapq.heappush(agenda, e)
         return [s for s in symbols if s]
 
-    def part(self, part: str) -> tuple[bytes, bytes]:
-        """Ids of a part as little-endian 32-bit integers, and the bytes they stand for."""
-        ids: list[int] = []
-        inner = range(1, len(part)) if len(part) > SHORT else ()  # a short agenda costs less than looking for cuts
-        cuts = [0, *(i for i in inner if part[i - 1 : i + 1] not in self.side_by_side), len(part)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for s in self.merged(part[lo:hi]):
-                i = self.id.get(s)
-                ids += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
-        return np.array(ids, "<u4").tobytes(), b"".join(map(self.spelled, ids))
-
-    def spelled(self, i: int) -> bytes:
-        return bytes([self.byte_value[i]]) if i in self.byte_value else self.pieces[i].replace(SPACE, " ").encode()
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids of a text without begin and end, as little-endian 32-bit integers, and the text they decode to."""
-        if not text:
-            return b"", ""
-        if len(self.known) > MEMORY:
+    def part(self, part: str) -> tuple[bytes, str]:
+        """Ids of a part as little-endian 32-bit integers, and the text they stand for."""
+        found = [self.written.get(s) or self.by_bytes(s) for s in self.merged(part)]
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found]).decode()
+
+    def by_bytes(self, sign: str) -> tuple[bytes, bytes]:
+        ids = [self.byte_id[b] for b in sign.encode()]
+        return np.array(ids, "<u4").tobytes(), bytes(self.byte_value[i] for i in ids)
+
+    def cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """Parts of all texts, and the parts before each text (n + 1 values)."""
+        marked = [self.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        joined = "".join(marked)
+        at = np.r_[0, np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))].astype(np.int64)
+        sign = self.sign[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+        begins = np.ones(len(joined), bool)
+        begins[1:] = ~self.beside[sign[:-1], sign[1:]]
+        begins[at[at < len(joined)]] = True
+        starts = np.flatnonzero(begins)
+        ends = [*starts.tolist(), len(joined)]
+        return [joined[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.searchsorted(starts, at).tolist()
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids of texts without begin and end, as little-endian 32-bit integers, and the texts they decode to."""
+        if self.ids.size > MEMORY:
             self.forget()
-        known, out = self.known, []
-        for p in self.parts.findall(self.prefix + text.replace(" ", SPACE)):
-            found = known.get(p)
-            if found is None:
-                found = self.part(p)
-                if len(p) <= LONG:
-                    known[p] = found
-            out.append(found)
-        said = b"".join([x[1] for x in out]).decode()
-        return b"".join([x[0] for x in out]), said[1:] if self.prefix and said[0] == " " else said
+        parts, first = self.cut(texts)
+        ids, said = [], []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            own = parts[a:b]
+            ids.append(b"".join(map(self.ids.__getitem__, own)))
+            text = "".join(map(self.said.__getitem__, own))
+            said.append(text[1:] if self.prefix and text[:1] == " " else text)
+        return ids, said
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of any ids: begin and end say nothing, an unknown id is a marked question, of the first piece the leading
@@ -227,7 +263,7 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: s
             col = batch.column(1)
             for lo, hi in slices(col):
                 texts = [t or "" for t in col.slice(lo, hi - lo).to_pylist()]
-                ids, decoded = zip(*map(vocabulary.encode, texts), strict=True)
+                ids, decoded = vocabulary.encode(texts)
                 ids = [begin + i + end for i in ids]
                 if check:
                     checked(library, texts, ids, decoded)

@@ -46,7 +46,7 @@ def test_pieces_of_random_texts(vocabulary, library):
     signs = "aabth   ▁▁\n\t\x00é日本語😀<s>İß​﻿�中文字"
     for n in [0, 1, 2, 3, 5, 30, 400] * 60:
         text = "".join(random.choice(signs) for _ in range(n))
-        ids, said = vocabulary.encode(text)
+        (ids,), (said,) = vocabulary.encode([text])
         want = library.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert said == library.decode(want) == vocabulary.decode([vocabulary.begin, *want, vocabulary.end])
@@ -54,15 +54,15 @@ def test_pieces_of_random_texts(vocabulary, library):
 
 def test_long_parts_are_whole(vocabulary, library):
     for text in ("a" * 60_000, " " * 4_001, "日本" * 9_000, "xy" * 300 + "࿿" + "z" * 900):
-        assert np.frombuffer(vocabulary.encode(text)[0], "<u4").tolist() == library.encode(text)
+        assert np.frombuffer(vocabulary.encode([text])[0][0], "<u4").tolist() == library.encode(text)
 
 
 def test_a_full_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "MEMORY", 3)
     small = sentence_pieces.Vocabulary(MODEL)
     for text in ("one two three four five", "five four three two one", "one"):
-        assert np.frombuffer(small.encode(text)[0], "<u4").tolist() == library.encode(text)
-    assert len(small.known) <= 8
+        assert np.frombuffer(small.encode([text])[0][0], "<u4").tolist() == library.encode(text)
+    assert len(small.ids) <= 8
 
 
 def test_decoding_of_any_ids(spark, vocabulary, library):
@@ -74,7 +74,7 @@ def test_decoding_of_any_ids(spark, vocabulary, library):
 
 
 def test_the_library_check_fails_on_other_ids(vocabulary, library):
-    ids, said = vocabulary.encode("some text")
+    (ids,), (said,) = vocabulary.encode(["some text"])
     whole = np.array([1, *np.frombuffer(ids, "<u4"), 2], "<u4").tobytes()
     sentence_pieces.checked(library, ["some text"], [whole], [said])
     with pytest.raises(ValueError, match="row 0"):
