@@ -9,8 +9,9 @@ Between two signs that stand side by side in no piece nothing is ever merged, so
 one array operation; a part's pieces do not depend on what surrounds it. Distinct parts are encoded once per worker and
 looked up by the part itself.
 
-Each slice of an Arrow batch is then checked against the sentencepiece library: ids and decoded texts must be equal, or
-the job fails with the first row's number that differs. `check=False` leaves the check out.
+Each slice of an Arrow batch is checked against the sentencepiece library: it must give the same ids for every part
+that the slice was the first to have, and decode all ids to the same texts, or the job fails and names what differs. As no
+merge crosses a cut, that covers whole texts; tests compare those as well. `check=False` leaves the check out.
 
 Null and empty texts have no ids but begin and end. Repeated rows and null ids are kept as they are; an empty table
 gives no rows; other columns are left out. A model with other rules than byte fallback over unchanged text (its own
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ from quaycheck.llm.words import slices
 
 SPACE = "▁"
 #: Signs a worker's memory of distinct parts holds before it starts anew; each part counts for SLOT more.
-MEMORY, SLOT = 16_000_000, 30
-#: Bits of an agenda entry that hold the place; a text has at most 2^31 bytes.
-PLACE = (1 << 32) - 1
+MEMORY, SLOT = 48_000_000, 40
+#: Bits of an agenda entry that hold the place: short parts have small numbers, a text has at most 2^31 bytes.
+SHORT, LONG = (1 << 14) - 1, (1 << 32) - 1
+#: One of these signs has to stand in no piece but alone; it parts what is checked together.
+APART = "\n\x00\ue000"
 #: Kinds of pieces, the merge type, and fields of the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
@@ -72,16 +75,19 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Parts(dict):
-    """Ids of the parts met so far; a new one is encoded when it is asked for. `size` is what they hold, in signs."""
+    """Ids of the parts met so far; a new one is encoded when it is asked for, and stays in `fresh` until it has been
+    checked. `size` is what they hold, in signs."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.vocabulary, self.size = vocabulary, 0
+        self.encode, self.size = encode, 0
+        self.fresh: list[str] = []
 
     def __missing__(self, part: str) -> bytes:
-        self[part], self.vocabulary.said[part] = found = self.vocabulary.part(part)
+        self[part] = ids = self.encode(part)
         self.size += SLOT + len(part)
-        return found[0]
+        self.fresh.append(part)
+        return ids
 
 
 class Vocabulary:
@@ -105,12 +111,13 @@ class Vocabulary:
         normal = [i for i, k in enumerate(self.kinds) if k == NORMAL]
         self.id = {self.pieces[i]: i for i in normal}
         order = {s: k for k, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
-        self.rank = {self.pieces[i]: order[scores[i]] << 32 for i in normal}
+        self.rank = {place: {self.pieces[i]: order[scores[i]] * (place + 1) for i in normal} for place in (SHORT, LONG)}
         self.byte_value = {i: int(self.pieces[i][1:-1], 16) for i, k in enumerate(self.kinds) if k == BYTE}
         self.byte_id = {b: i for i, b in self.byte_value.items()}
         control = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == CONTROL}
         self.begin, self.end = control["<s>"], control["</s>"]
-        self.written = {p: (np.array([i], "<u4").tobytes(), p.replace(SPACE, " ").encode()) for p, i in self.id.items()}
+        self.written = {p: np.array([i], "<u4").tobytes() for p, i in self.id.items()}
+        self.spelling = [bytes([self.byte_value[i]]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         signs = sorted({c for p in pairs for c in p})
         self.sign = np.zeros(0x110000, np.uint16)  # 0: stands in no piece but alone
@@ -118,11 +125,12 @@ class Vocabulary:
         self.beside = np.zeros((len(signs) + 1, len(signs) + 1), bool)
         for p in pairs:
             self.beside[self.sign[ord(p[0])], self.sign[ord(p[1])]] = True
+        self.apart = next(c for c in APART if not self.sign[ord(c)])
         self.forget()
 
     def forget(self) -> None:
         """Starts the memory of parts anew: what was found in it is kept by no one else."""
-        self.ids, self.said = Parts(self), {}
+        self.ids = Parts(self.part)
 
     def merged(self, part: str) -> list[str]:
         """Symbols left of a text when no two neighbours form a piece.
@@ -130,41 +138,48 @@ class Vocabulary:
         An entry of the agenda is a number, rank of the score before place of the left symbol. `due` holds the one entry
         of each place that is still true; others are passed over when they come up.
         """
-        n, rank = len(part), self.rank
-        symbols, before, after = list(part), list(range(-1, n - 1)), [*range(1, n), -1]
-        due = [*(rank.get(part[i : i + 2], -1 - i) + i for i in range(n - 1)), -1]
-        agenda = [e for e in due if e >= 0]
+        n = len(part)
+        place = SHORT if n <= SHORT else LONG
+        get, push, pop = self.rank[place].get, heapq.heappush, heapq.heappop
+        due, agenda = [-1] * n, []
+        for i in range(n - 1):
+            e = get(part[i : i + 2])
+            if e is not None:
+                due[i] = e = e + i
+                agenda.append(e)
         heapq.heapify(agenda)
+        symbols, before, after = list(part), list(range(-1, n - 1)), [*range(1, n), -1]
         while agenda:
-            entry = heapq.heappop(agenda)
-            i = entry & PLACE
+            entry = pop(agenda)
+            i = entry & place
             if due[i] != entry:
                 continue
-            j = after[i]
-            symbols[i] += symbols[j]
+            j, h = after[i], before[i]
+            k = after[i] = after[j]
+            symbols[i] = new = symbols[i] + symbols[j]
             symbols[j] = ""
-            due[j] = -1
-            after[i] = k = after[j]
-            due[i] = e = rank.get(symbols[i] + symbols[k], -1 - i) + i if k >= 0 else -1
-            if e >= 0:
-                heapq.heappush(agenda, e)
+            due[i] = due[j] = -1
             if k >= 0:
                 before[k] = i
-            h = before[i]
+                e = get(new + symbols[k])
+                if e is not None:
+                    due[i] = e = e + i
+                    push(agenda, e)
             if h >= 0:
-                due[h] = e = rank.get(symbols[h] + symbols[i], -1 - h) + h
-                if e >= 0:
-                    heapq.heappush(agenda, e)
+                due[h] = -1
+                e = get(symbols[h] + new)
+                if e is not None:
+                    due[h] = e = e + h
+                    push(agenda, e)
         return [s for s in symbols if s]
 
-    def part(self, part: str) -> tuple[bytes, str]:
-        """Ids of a part as little-endian 32-bit integers, and the text they stand for."""
-        found = [self.written.get(s) or self.by_bytes(s) for s in self.merged(part)]
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found]).decode()
+    def part(self, part: str) -> bytes:
+        """Ids of a part as little-endian 32-bit integers."""
+        written = self.written
+        return b"".join([written.get(s) or self.by_bytes(s) for s in (self.merged(part) if len(part) > 1 else part)])
 
-    def by_bytes(self, sign: str) -> tuple[bytes, bytes]:
-        ids = [self.byte_id[b] for b in sign.encode()]
-        return np.array(ids, "<u4").tobytes(), bytes(self.byte_value[i] for i in ids)
+    def by_bytes(self, sign: str) -> bytes:
+        return np.array([self.byte_id[b] for b in sign.encode()], "<u4").tobytes()
 
     def cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """Parts of all texts, and the parts before each text (n + 1 values)."""
@@ -179,18 +194,18 @@ class Vocabulary:
         ends = [*starts.tolist(), len(joined)]
         return [joined[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.searchsorted(starts, at).tolist()
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids of texts without begin and end, as little-endian 32-bit integers, and the texts they decode to."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without begin and end, as little-endian 32-bit integers."""
         if self.ids.size > MEMORY:
             self.forget()
         parts, first = self.cut(texts)
-        ids, said = [], []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            own = parts[a:b]
-            ids.append(b"".join(map(self.ids.__getitem__, own)))
-            text = "".join(map(self.said.__getitem__, own))
-            said.append(text[1:] if self.prefix and text[:1] == " " else text)
-        return ids, said
+        found = list(map(self.ids.__getitem__, parts))
+        return [b"".join(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def spelled(self, ids: bytes) -> str:
+        """Text of the ids of a text: as `decode` where all bytes are whole signs, which they are in what was encoded."""
+        text = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
+        return text[1:] if self.prefix and text[:1] == " " else text
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of any ids: begin and end say nothing, an unknown id is a marked question, of the first piece the leading
@@ -240,13 +255,19 @@ def tools_of(model: bytes) -> tuple:
     return _made[key]
 
 
-def checked(library, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
-    """Fails unless the library gives the same ids and decodes them alike."""
-    theirs = library.encode(texts, out_type=int, add_bos=True, add_eos=True, num_threads=1)
-    said = library.decode(theirs, num_threads=1)
-    for row, (a, b, x, y) in enumerate(zip(theirs, ids, said, decoded, strict=True)):
-        if np.array(a, "<u4").tobytes() != b or x != y:
-            raise ValueError(f"row {row} of a slice of {len(texts)} differs from the sentencepiece library")
+def checked(vocabulary: Vocabulary, library, ids: list[bytes], decoded: list[str]) -> None:
+    """Fails unless the library gives the same ids for each part encoded since the last check, all of them in one text,
+    parted by a sign that nothing is merged with, and decodes all ids to the same texts."""
+    parts, vocabulary.ids.fresh = vocabulary.ids.fresh, []
+    whole = "".join([vocabulary.apart + p for p in parts]).replace(SPACE, " ")
+    (ours,) = vocabulary.encode([whole])
+    if library.encode([whole], out_type=int, num_threads=1)[0] != np.frombuffer(ours, "<u4").tolist():
+        alone = [p for p in parts if library.encode(vocabulary.apart + p.replace(SPACE, " ")) != np.frombuffer(vocabulary.encode([vocabulary.apart + p])[0], "<u4").tolist()]
+        raise ValueError(f"the sentencepiece library gives other ids for {alone[:3]}")
+    said = library.decode([np.frombuffer(i, "<u4").tolist() for i in ids], num_threads=1)
+    for row, (x, y) in enumerate(zip(said, decoded, strict=True)):
+        if x != y:
+            raise ValueError(f"the sentencepiece library decodes row {row} of a slice to another text")
 
 
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "text", digests: bool = False, check: bool = True) -> DataFrame:
@@ -263,10 +284,10 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: s
             col = batch.column(1)
             for lo, hi in slices(col):
                 texts = [t or "" for t in col.slice(lo, hi - lo).to_pylist()]
-                ids, decoded = vocabulary.encode(texts)
-                ids = [begin + i + end for i in ids]
+                ids = [begin + i + end for i in vocabulary.encode(texts)]
+                decoded = [vocabulary.spelled(i) for i in ids]
                 if check:
-                    checked(library, texts, ids, decoded)
+                    checked(vocabulary, library, ids, decoded)
                 n = pa.array([len(i) // 4 for i in ids], pa.int64())
                 if digests:
                     out = [pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]

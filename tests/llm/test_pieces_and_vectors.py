@@ -46,22 +46,22 @@ def test_pieces_of_random_texts(vocabulary, library):
     signs = "aabth   ▁▁\n\t\x00é日本語😀<s>İß​﻿�中文字"
     for n in [0, 1, 2, 3, 5, 30, 400] * 60:
         text = "".join(random.choice(signs) for _ in range(n))
-        (ids,), (said,) = vocabulary.encode([text])
+        (ids,) = vocabulary.encode([text])
         want = library.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert said == library.decode(want) == vocabulary.decode([vocabulary.begin, *want, vocabulary.end])
+        assert vocabulary.spelled(ids) == library.decode(want) == vocabulary.decode([vocabulary.begin, *want, vocabulary.end])
 
 
 def test_long_parts_are_whole(vocabulary, library):
     for text in ("a" * 60_000, " " * 4_001, "日本" * 9_000, "xy" * 300 + "࿿" + "z" * 900):
-        assert np.frombuffer(vocabulary.encode([text])[0][0], "<u4").tolist() == library.encode(text)
+        assert np.frombuffer(vocabulary.encode([text])[0], "<u4").tolist() == library.encode(text)
 
 
 def test_a_full_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "MEMORY", 3)
     small = sentence_pieces.Vocabulary(MODEL)
     for text in ("one two three four five", "five four three two one", "one"):
-        assert np.frombuffer(small.encode([text])[0][0], "<u4").tolist() == library.encode(text)
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == library.encode(text)
     assert len(small.ids) <= 8
 
 
@@ -73,14 +73,19 @@ def test_decoding_of_any_ids(spark, vocabulary, library):
     assert {r.doc_id: r.decoded for r in got} == {k: None if ids is None else library.decode(ids) for k, ids in rows}
 
 
-def test_the_library_check_fails_on_other_ids(vocabulary, library):
-    (ids,), (said,) = vocabulary.encode(["some text"])
-    whole = np.array([1, *np.frombuffer(ids, "<u4"), 2], "<u4").tobytes()
-    sentence_pieces.checked(library, ["some text"], [whole], [said])
-    with pytest.raises(ValueError, match="row 0"):
-        sentence_pieces.checked(library, ["some text"], [whole[:-4]], [said])
-    with pytest.raises(ValueError, match="row 0"):
-        sentence_pieces.checked(library, ["some text"], [whole], [said + " "])
+def test_the_library_check_fails_on_other_ids_or_texts(library):
+    own = sentence_pieces.Vocabulary(MODEL)
+    texts = ["some text,  \n with ▁ odd 日本 signs\x00", "", "some more"]
+    ids = own.encode(texts)
+    assert own.ids.fresh
+    sentence_pieces.checked(own, library, ids, [own.spelled(i) for i in ids])
+    assert set(own.ids.fresh) <= {sentence_pieces.SPACE, own.apart}  # only what the check itself put in front
+    with pytest.raises(ValueError, match="decodes row 1"):
+        sentence_pieces.checked(own, library, ids, [own.spelled(ids[0]), " ", own.spelled(ids[2])])
+    own.ids["▁new"] = own.ids["▁text"]
+    own.ids.fresh.append("▁new")
+    with pytest.raises(ValueError, match="▁new"):
+        sentence_pieces.checked(own, library, [], [])
 
 
 def test_other_models_are_refused():
