@@ -21,20 +21,19 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaycheck.llm.pieces import SPECIAL, byte_spans, cut
-from quaycheck.llm.words import hashes, slices
+from quaycheck.llm.pieces import MARK, cut, distinct_bytes
+from quaycheck.llm.words import slices
 
 SHORT = 48
 NONE = np.int64(1 << 40)
-#: Distinct words a worker remembers before it starts anew.
-MEMORY = 500_000
+#: Distinct words, and bytes of them, a worker remembers before it starts anew.
+MEMORY, HELD = 500_000, 32 << 20
 #: Fixed value: the only cut of words this module knows; a file with another one is refused.
 WORD_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -158,7 +157,8 @@ class WordMemory:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.size: list[int] = []
         self.ids: list[bytes] = []
         self.text: list[bytes] = []
@@ -183,27 +183,23 @@ class WordMemory:
 
     def texts(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
         """Places in memory of the words of all texts, and where each text starts (n + 1 values)."""
-        if len(self.place) > MEMORY:
+        if len(self.place) > MEMORY or self.held > HELD:
             self.forget()
         joined, begin, end, kind, first = cut([self.normal(t) for t in texts], self.special, False)
-        raw, lo, hi = byte_spans(joined, begin, end)
-        h = hashes(raw, lo, hi) ^ (kind == SPECIAL).astype(np.uint64)
-        u, where, back = np.unique(h, return_index=True, return_inverse=True)
-        index = np.fromiter(map(self.place.get, u.tolist(), repeat(-1)), np.int64, len(u))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            data, at = raw.tobytes(), where[new]
-            words = [data[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
-            ids = self.merges.encode([w if k != SPECIAL else b"x" for w, k in zip(words, kind[at].tolist(), strict=True)])
-            for j in np.flatnonzero(kind[at] == SPECIAL).tolist():
-                ids[j] = [self.merges.special[words[j].decode()]]
+        words = distinct_bytes(joined, begin, end, kind)
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if new:
+            ids = self.merges.encode([w if w[:1] != MARK else b"x" for w in new])
+            for j, w in enumerate(new):
+                if w[:1] == MARK:
+                    ids[j] = [self.merges.special[w[1:].decode()]]
             token = self.merges.token
-            index[new] = np.arange(len(self.size), len(self.size) + len(new))
-            self.place.update(zip(u[new].tolist(), index[new].tolist(), strict=True))
+            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.held += sum(map(len, new))
             self.size += map(len, ids)
             self.ids += [" ".join(map(str, x)).encode() for x in ids]
             self.text += [" ".join([token[i] for i in x]).encode() for x in ids]
-        return index[back].tolist(), first
+        return list(map(self.place.__getitem__, words)), first
 
 
 _made: dict[int, WordMemory] = {}

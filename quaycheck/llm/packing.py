@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaycheck.llm.common import staged
-from quaycheck.llm.pieces import SPECIAL, byte_spans, cut
-from quaycheck.llm.words import hashes, slices
+from quaycheck.llm.pieces import MARK, cut, distinct_bytes
+from quaycheck.llm.words import slices
 
-#: Distinct pieces a worker remembers before it starts anew: what bounds its memory.
-MEMORY = 200_000
+#: Distinct pieces, and bytes of them, a worker remembers before it starts anew: what bounds its memory.
+MEMORY, HELD = 200_000, 32 << 20
 
 
 def grown(a: np.ndarray, size: int) -> np.ndarray:
@@ -59,7 +58,8 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.remembered = 0
         self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +68,12 @@ class Pieces:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
         joined, begin, end, kind, first = cut(texts, self.special, True)
-        raw, lo, hi = byte_spans(joined, begin, end)
-        h = hashes(raw, lo, hi) ^ (kind == SPECIAL).astype(np.uint64)
-        u, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) > MEMORY:
+        pieces = distinct_bytes(joined, begin, end, kind)
+        if len(self.place) > MEMORY or self.remembered > HELD:
             self.forget()
-        keys = u.tolist()
-        index = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            data = raw.tobytes()
-            words = [data[a:b].decode("utf-8", "replace") for a, b in zip(lo[where[new]].tolist(), hi[where[new]].tolist(), strict=True)]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.place]
+        if new:
+            words = [p.removeprefix(MARK).decode("utf-8", "replace") for p in new]
             found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
             ids, stops = np.array(found.ids, np.uint32), np.searchsorted(np.array(found.word_ids), np.arange(len(words)), "right")
             held = self.at[self.n]
@@ -86,11 +81,11 @@ class Pieces:
             self.ids[held : held + len(ids)] = ids
             self.at = grown(self.at, self.n + len(new) + 1)
             self.at[self.n + 1 : self.n + len(new) + 1] = held + stops
-            index[new] = np.arange(self.n, self.n + len(new))
-            self.place.update(zip(u[new].tolist(), index[new].tolist(), strict=True))
+            self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+            self.remembered += sum(map(len, new))
             self.n += len(new)
-        start, size = self.at[index], self.at[index + 1] - self.at[index]
-        start, length = start[back], size[back]
+        index = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        start, length = self.at[index], self.at[index + 1] - self.at[index]
         stops = np.r_[0, np.cumsum(length)]
         flat = self.ids[np.repeat(start - stops[:-1], length) + np.arange(stops[-1])]
         return flat, stops[first]

@@ -15,6 +15,8 @@ from functools import cache
 import numpy as np
 
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
+#: Stands before the bytes of a special token; no text holds this byte.
+MARK = b"\xff"
 #: Code points of the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -91,3 +93,13 @@ def byte_spans(joined: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         return raw, begin, end
     offsets = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]
     return raw, offsets[begin], offsets[end]
+
+
+def distinct_bytes(joined: str, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> list[bytes]:
+    """The UTF-8 bytes of every piece, those of special tokens behind a mark: equal only for pieces with equal ids."""
+    raw, lo, hi = byte_spans(joined, begin, end)
+    data = raw.tobytes()
+    out = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    for i in np.flatnonzero(kind == SPECIAL).tolist():
+        out[i] = MARK + out[i]
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +17,10 @@ LOWER[65:91] += 32
 #: Text bytes handled at once; a longer document makes a slice of its own.
 SLICE = 1 << 20
 
-_RNG = np.random.Generator(np.random.PCG64(20))
-_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Ranges of up to so many bytes are hashed together, longer ones one by one.
+SHORT = 64
 _STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 2**64)
-
-
-class _Powers:
-    """Powers of an odd number modulo 2^64, made as far as they are asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.known = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if n > len(self.known):
-            more = np.full(max(n, 2 * len(self.known)), self.base, np.uint64)
-            more[0] = 1
-            self.known = np.multiply.accumulate(more)
-        return self.known[:n]
-
-
-_up, _down = _Powers(_STEP), _Powers(_BACK)
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,10 +72,24 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * _up.upto(len(raw)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _down.upto(len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte ranges. Short ranges take eight bytes at a time, mixed with all before them, so that up
+    to eight bytes no two of one length share a hash; longer ones have their BLAKE2."""
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= SHORT))
+    step = 0
+    while len(live):
+        chunk = eight[starts[live] + step] & _FIRST[np.minimum(size[live] - step, 8)]
+        out[live] = mix(out[live] * np.uint64(_STEP) ^ chunk)
+        step += 8
+        live = live[size[live] > step]
+    long = np.flatnonzero(size > SHORT)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -10,11 +10,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, quality_rules, stats
+from quaycheck.llm import words as words_of
 from tests.llm.conftest import ODD, sentence
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -222,7 +224,6 @@ def test_rules_of_empty_table(no_docs, labels):
 
 
 def test_counts_are_of_each_text():
-    import pyarrow as pa
 
     c = stats.counts(pa.array(["A b", None, "b!", "b b"]))
     assert c["n_upper"].tolist() == [1, 0, 0, 0] and c["n_same_words"].tolist() == [0, 0, 0, 1] and c["n_marks"].tolist() == [0, 0, 1, 0]
@@ -272,3 +273,52 @@ def test_pruning_follows_the_posterior():
 
 def test_near_duplicates_of_empty_table(no_docs):
     assert minhash_dedup.near_duplicates(no_docs).collect() == []
+
+
+# ---- words that sums of powers cannot tell apart
+
+
+def thue_morse(n: int, flip: bool) -> str:
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+TWINS = [(2 * k + flip, " ".join(["calm harbour", thue_morse(n, flip), "grey gulls over", sentence(5, 30)])) for k, n in enumerate((512, 1024, 2048, 4096, 8192)) for flip in (False, True)]
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    return spark.createDataFrame(TWINS, "doc_id long, text string")
+
+
+def test_hashes_tell_twins_apart():
+    texts = pa.array([t for _, t in TWINS])
+    h, at = words_of.word_hashes(texts)
+    assert len({int(h[a + 2]) for a in at[:-1]}) == len(TWINS)
+    rng = random.Random(3)
+    some = list({"".join(rng.choice("abc") for _ in range(rng.choice([1, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(20_000)})
+    h, _ = words_of.word_hashes(pa.array([" ".join(some)]))
+    assert len(set(h.tolist())) == len(some) == len(h)
+    again, _ = words_of.word_hashes(pa.array(["x " * 37 + " ".join(reversed(some))]))
+    assert again[37:].tolist()[::-1] == h.tolist()  # wherever a word stands
+
+
+def test_twins_keep_their_own_ids(spark, twins):
+    tok = Tokenizer.from_str(WORD)
+    tok.no_truncation()
+    got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(twins, WORD).collect()}
+    assert got == {i: (ids := tok.encode(t, add_special_tokens=False).ids, tok.decode(ids, skip_special_tokens=False)) for i, t in TWINS}
+    tok = Tokenizer.from_str(BYTE)
+    rows = packing.pack(twins, BYTE, keep_ids=True).collect()
+    for i, t in TWINS:
+        ids = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece) for x in r.ids]
+        assert ids == [*tok.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_twins_are_other_words_lines_and_shingles(spark, twins):
+    got = {r.doc_id: r for r in lm_score.score(twins, held_out=F.col("doc_id") % 2 == 1).collect()}
+    for i, t in TWINS:  # the odd twin's long word was never seen
+        assert got[i].n_tokens - got[i].n_known == (1 if i % 2 else 0)
+    lines = pa.array([a + "\n" + b for (_, a), (_, b) in zip(TWINS[::2], TWINS[1::2], strict=True)])
+    assert stats.counts(lines)["n_dup_lines"].tolist() == [0] * 5
+    short = spark.createDataFrame([(i, "one two " + t.split()[2] + " four five") for i, t in TWINS], "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in minhash_dedup.near_duplicates(short).collect())
