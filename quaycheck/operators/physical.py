@@ -49,17 +49,30 @@ def encoding_check(content: Column, declared: Column, allow_fallback: Column) ->
 
     With fallback allowed, utf-8 and ascii payloads may be read as latin-1 instead, which always works.
     """
+    bad = bad_prefix(content, encoding_name(declared))
+    byte = F.lower(F.hex(F.substring(content, bad + 1, F.lit(1))))
+    return _verdict(bad, byte, declared, allow_fallback)
+
+
+def encoding_verdict(bad: Column, declared: Column, allow_fallback: Column) -> Column:
+    """The same from what a stream found: struct of (at, byte) of the first wrong byte by codec."""
+    requested = encoding_name(declared)
+    pick = lambda f: F.when(requested.isin("utf-8", "utf-8-sig"), bad["utf8"][f]).when(requested == "ascii", bad["ascii"][f]).when(
+        requested == "cp1252", bad["cp1252"][f])
+    return _verdict(pick("at"), pick("byte"), declared, allow_fallback)
+
+
+def _verdict(bad: Column, byte: Column, declared: Column, allow_fallback: Column) -> Column:
     requested = encoding_name(declared)
     known = requested.isin("utf-8", "utf-8-sig", "ascii", "latin-1", "cp1252")
-    bad = bad_prefix(content, requested)
     rescued = F.coalesce(allow_fallback, F.lit(False)) & requested.isin("utf-8", "ascii")
     ok = known & (bad.isNull() | rescued)
     return F.struct(
         ok.alias("ok"),
         requested.alias("requested"),
         F.when(ok & bad.isNull(), requested).when(ok, F.lit("latin-1")).alias("used"),
-        F.when(~ok, bad).alias("error_start"),
-        F.when(~ok & bad.isNotNull(), F.lower(F.hex(F.substring(content, bad + 1, F.lit(1))))).alias("offending_byte"),
+        F.when(~ok, bad).cast("bigint").alias("error_start"),
+        F.when(~ok & bad.isNotNull(), byte).alias("offending_byte"),
     )
 
 

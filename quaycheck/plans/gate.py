@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaycheck.functions import fixed_values as fx
@@ -20,7 +20,7 @@ from quaycheck.functions.common import blank_to_null, call, details
 from quaycheck.functions.dates import iso_business_date, parse_business_date
 from quaycheck.operators import anomaly, identity, lines, manifest, outcome, physical, quality, revenue, sets
 from quaycheck.session import staged
-from quaycheck.sources import control
+from quaycheck.sources import control, landing
 
 SCOPE = ["property_id", "report_type"]
 
@@ -52,12 +52,87 @@ def evaluate(landed: DataFrame, contracts: DataFrame, history: DataFrame, as_of:
     inventory: object_key of everything in the landing zone, for commit markers (default: the landed ones).
     """
     contracts = staged(contracts, "contracts")
-    files = _facts(landed, contracts)
-    body = _body(files)
-    narrow = files.drop("content", "lines", "header_re", "footer_re", "ignore_re", "count_pattern", "name_pattern",
-                        "path_pattern", "partition_pattern", "noise_re", "noise_dirs")
-    facts = staged(narrow.join(_per_file(body), "file_id", "left"), "facts")
+    files = _from_content(_named(landed, contracts))
+    rows = lambda f: f.select(*OF_LINES, "header", "header_no", F.posexplode("lines").alias("line_no", "line"))
+    narrow = files.drop("content", "lines", *PATTERNS)
+    facts = staged(narrow.join(_per_file(_body(rows(files))), "file_id", "left"), "facts")
+    # offending rows are looked up only in the payloads that have any
+    suspects = facts.where(F.col("bad_rows") > 0).select("file_id")
+    bad = _body(rows(_from_content(_named(landed.join(suspects, "file_id", "left_semi"), contracts))))
+    return _judged(facts, landed, contracts, history, as_of, siblings, inventory, bad)
+
+
+def evaluate_split(landed: DataFrame, lines_read: DataFrame, contracts: DataFrame, history: DataFrame, as_of: Column,
+                   siblings: DataFrame | None = None, inventory: DataFrame | None = None) -> GateRun:
+    """Scores files of any size: the same reports as `evaluate`, from lines that Spark read in splits.
+
+    landed: as for `evaluate`, with `uri` and the columns of `landing.payload_facts` in place of content.
+    lines_read: `landing.read_splits` of the landed files.
 
+    A file's lines meet its contract on (file, stretch of the file), so a huge file is dealt like many small ones.
+    Scans of the text: one finds every file's header line and counts each split, one fetches the header lines, one
+    reduces all lines. Lines are numbered by their place in the split and the sums of the splits before.
+    """
+    contracts = staged(contracts, "contracts")
+    files = staged(_physical(_named(landed, contracts)).drop(*FACTS), "split-files")
+    lines_read = _marked(lines_read, files)
+    of_line = _split_lines(lines_read, files)
+
+    flagged = of_line.withColumn("heads", _is_header(F.col("line")))
+    splits = flagged.groupBy("file_id", "split_at").agg(
+        F.min("seen").alias("first_seen"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("heads"), F.col("seen"))).alias("head_seen"))
+    before = Window.partitionBy("file_id").orderBy("split_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = staged(splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))), "splits")
+
+    # the line that names the columns: the first header line, or the first line where none is marked
+    first = splits.groupBy("file_id").agg(
+        F.min(F.when(F.col("head_seen").isNotNull(), F.col("split_at"))).alias("marked"), F.min("split_at").alias("start"))
+    first = first.select("file_id", F.coalesce("marked", "start").alias("split_at")).join(splits, ["file_id", "split_at"])
+    first = first.select("file_id", "split_at", F.coalesce("head_seen", "first_seen").alias("seen"),
+                         (F.coalesce("head_seen", "first_seen") - F.col("first_seen") + F.col("offset")).cast("int").alias("header_no"))
+    heads = of_line.join(first, ["file_id", "split_at", "seen"]).select(
+        "file_id", "header_no", quality.csv_fields(F.col("line"), F.col("delimiter")).alias("header"))
+    files = files.join(heads, "file_id", "left").withColumns({
+        "header": F.coalesce("header", F.array().cast("array<string>")), "header_no": F.coalesce("header_no", F.lit(0))})
+    files = staged(files, "headed-files")
+
+    places = splits.select("file_id", "split_at", (F.col("offset") - F.col("first_seen")).alias("shift"))
+    numbered = lambda f: _split_lines(lines_read, f, "header", "header_no").join(places, ["file_id", "split_at"]).withColumn(
+        "line_no", (F.col("seen") + F.col("shift")).cast("int")).select(*OF_LINES, "header", "header_no", "line_no", "line")
+    facts = staged(files.drop(*PATTERNS, "uri").join(_per_file(_body(numbered(files))), "file_id", "left"), "facts")
+    suspects = files.join(facts.where(F.col("bad_rows") > 0).select("file_id"), "file_id", "left_semi")
+    return _judged(facts, landed, contracts, history, as_of, siblings, inventory, _body(numbered(suspects)))
+
+
+def _split_lines(lines_read: DataFrame, files: DataFrame, *more: str) -> DataFrame:
+    """Lines with what their file's contract says about them; as text in the encoding found for the file."""
+    dims = files.where(~F.col("is_object") & (F.col("length") > 0)).select(
+        *OF_LINES, *more, landing.same_form(F.col("uri")).alias("uri"), F.col("enc.used").alias("used"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("length") / landing.STRETCH))).alias("stretch"))
+    lines_of = lines_read.withColumn("stretch", F.floor(F.col("split_at") / landing.STRETCH)).join(dims, ["uri", "stretch"])
+    text = F.coalesce(physical.decoded(F.col("raw"), F.col("used")), physical.latin1(F.col("raw")))
+    # a byte-order mark belongs to the text unless the encoding says otherwise
+    mark = F.when(F.col("used") == "utf-8", physical.BOM).otherwise("\u00ef\u00bb\u00bf")
+    lost = F.col("at_start") & ~F.col("used").eqNullSafe("utf-8-sig")
+    return lines_of.withColumn("line", F.when(lost, F.concat(mark, text)).otherwise(text)).drop("raw", "used", "at_start", "uri", "stretch")
+
+
+def _marked(lines_read: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines with a mark at the first one of files that begin with a byte-order mark, which the reader drops."""
+    with_mark = files.where("has_bom").select(landing.same_form(F.col("uri")).alias("uri"), F.col("length"), F.col("enc.used").alias("used"))
+    if not with_mark.limit(1).count():
+        return lines_read.withColumn("at_start", F.lit(False))
+    start = lines_read.where("split_at = 0").join(with_mark, "uri").groupBy("uri", "split_at").agg(F.min("seen").alias("seen"))
+    start = staged(start.withColumn("at_start", F.lit(True)), "marked")
+    marked = lines_read.join(start, ["uri", "split_at", "seen"], "left").withColumn("at_start", F.coalesce("at_start", F.lit(False)))
+    alone = with_mark.where((F.col("length") == 3) & ~F.col("used").eqNullSafe("utf-8-sig")).select(
+        "uri", F.lit(0).cast("bigint").alias("split_at"), F.lit(0).cast("bigint").alias("seen"), F.lit(b"").alias("raw"), F.lit(True).alias("at_start"))
+    return marked.unionByName(alone)
+
+
+def _judged(facts: DataFrame, landed: DataFrame, contracts: DataFrame, history: DataFrame, as_of: Column,
+            siblings: DataFrame | None, inventory: DataFrame | None, bad: DataFrame) -> GateRun:
+    """Second step: siblings, markers and history, on one narrow row per file."""
     present = _present(facts, siblings, contracts)
     keys = inventory if inventory is not None else landed.select(
         identity.object_key(F.coalesce(blank_to_null(F.col("path")), F.col("filename"))).alias("object_key"))
@@ -74,31 +149,33 @@ def evaluate(landed: DataFrame, contracts: DataFrame, history: DataFrame, as_of:
         "g1_reason": F.coalesce(outcome.first_failure(F.col("g1"))["message"], F.lit("All extraction checks passed.")),
     }), "gate1")
     reports = _report(_gate_three_four(_gate_two(first, history, as_of)), as_of)
-
-    # offending rows are looked up only in the payloads that have any
-    suspects = facts.where(F.col("bad_rows") > 0).select("file_id")
-    bad = _body(_facts(landed.join(suspects, "file_id", "left_semi"), contracts))
-    violations = bad.select("file_id", F.lit("gate_3").alias("gate"), "row_no", F.inline("bad")).select(
-        "file_id", "gate", F.col("rule").alias("rule_name"), "row_no", "column", "value")
+    violations = bad.where(F.size("bad") > 0).select("file_id", F.lit("gate_3").alias("gate"), "row_no", "line", F.inline("bad")).select(
+        "file_id", "gate", F.col("rule").alias("rule_name"), "row_no", "column", "value", F.col("line").alias("record"))
     return GateRun(reports, violations)
 
 
 # -- facts on the file's own row -------------------------------------------------------------
 
-def _facts(landed: DataFrame, contracts: DataFrame) -> DataFrame:
+PATTERNS = ["header_re", "footer_re", "ignore_re", "count_pattern", "name_pattern", "path_pattern", "partition_pattern", "noise_re", "noise_dirs"]
+#: What the rules about lines need of the file.
+OF_LINES = ["file_id", "delimiter", "patterned", "header_re", "footer_re", "ignore_re", "count_pattern",
+            "non_null_columns", "numeric_columns", "numeric_ranges", "header_total_columns", "line_amount_columns",
+            "tax_columns", "net_sales_columns", "tender_columns"]
+#: Facts about a payload's bytes that `_physical` turns into verdicts.
+FACTS = [f for f in landing.FACTS if f not in ("length", "checksum", "has_bom")]
+
+
+def _named(landed: DataFrame, contracts: DataFrame) -> DataFrame:
+    """What names and paths say."""
     c = contracts.drop("property_code") if "property_code" in landed.columns else contracts
     files = landed.join(c, "contract_id", "left")
     files = identity.with_identity(files, "filename", "name_pattern", F.col("required_groups"))
     key = identity.object_key(F.coalesce(blank_to_null(F.col("path")), F.col("filename")))
-    enc = physical.encoding_check(F.col("content"), F.col("encoding"), F.col("allow_fallback"))
     files = (
         files.withColumn("key", key)
         .withColumn("is_object", F.coalesce("is_object", F.lit(False)))
-        .withColumn("length", F.coalesce(F.length("content"), F.lit(0)))
         .withColumn("noisy", identity.is_noise(F.coalesce(blank_to_null(F.col("path")), F.col("filename")), F.col("noise_re"), F.col("noise_dirs"))
                     | identity.is_noise(F.col("filename"), F.col("noise_re"), F.col("noise_dirs")))
-        .withColumn("checksum", F.when(F.col("length") > 0, physical.checksum(F.col("content"))))
-        .withColumn("enc", enc)
         .withColumn("has_name_pattern", F.col("name_pattern.source").isNotNull())
         .withColumn("name_pattern_valid", F.col("name_pattern.regex").isNotNull())
         .withColumn("has_path_pattern", F.col("path_pattern.source").isNotNull())
@@ -107,22 +184,50 @@ def _facts(landed: DataFrame, contracts: DataFrame) -> DataFrame:
         .withColumn("part_tokens", identity.partition_tokens(F.col("key"), F.col("partition_pattern"), F.col("property_code"),
                                                              F.col("feed_category"), F.col("object_format")))
         .withColumn("tokens", F.when(F.col("is_object"), F.coalesce("part_tokens", F.create_map().cast("map<string,string>"))).otherwise(F.col("tokens")))
-        .withColumn("watermark", F.when(F.col("is_object") & (F.col("object_format") == "JSONL"), sets.watermark_verdict(
-            sets.first_line(F.when(call("is_valid_utf8", F.col("content")), F.decode("content", "UTF-8"))), F.col("watermark_column"))))
+        .withColumn("patterned", F.col("header_re").isNotNull() | F.col("footer_re").isNotNull())
     )
     for t in ("property", "report_type", "date"):
         files = files.withColumn(t, F.element_at("tokens", t))
+    return files
+
+
+def _watermark(first_line: Column) -> Column:
+    return F.when(F.col("is_object") & (F.col("object_format") == "JSONL"), sets.watermark_verdict(first_line, F.col("watermark_column")))
+
+
+def _physical(files: DataFrame) -> DataFrame:
+    """Verdicts on bytes from facts that a stream over the payload gathered."""
+    bad = F.struct(*[F.struct(F.col(f"bad_{n}").alias("at"), F.col(f"bad_{n}_byte").alias("byte")).alias(n) for n in landing.CODECS])
+    return (
+        files.withColumn("length", F.coalesce("length", F.lit(0).cast("bigint")))
+        .withColumn("checksum", F.when(F.col("length") > 0, F.col("checksum")))
+        .withColumn("enc", physical.encoding_verdict(bad, F.col("encoding"), F.col("allow_fallback")))
+        .withColumn("has_bom", F.coalesce("has_bom", F.lit(False)))
+        .withColumn("watermark", _watermark(F.col("first_line")))
+    )
+
+
+def _is_header(line: Column) -> Column:
+    return F.when(F.col("patterned"), ~pt.matches(line, F.col("ignore_re")) & pt.matches(line, F.col("header_re"))).otherwise(
+        ~pt.matches(line, F.col("ignore_re")))
+
+
+def _from_content(files: DataFrame) -> DataFrame:
+    """Verdicts on bytes and lines of payloads that are columns."""
+    enc = physical.encoding_check(F.col("content"), F.col("encoding"), F.col("allow_fallback"))
+    files = (
+        files.withColumn("length", F.coalesce(F.length("content"), F.lit(0)))
+        .withColumn("checksum", F.when(F.col("length") > 0, physical.checksum(F.col("content"))))
+        .withColumn("enc", enc)
+        .withColumn("watermark", _watermark(sets.first_line(F.when(call("is_valid_utf8", F.col("content")), F.decode("content", "UTF-8")))))
+    )
     # what later gates read; payloads that fail their encoding are read as latin-1
     text = F.when(F.col("is_object") | (F.col("length") == 0), F.lit("")).otherwise(
         F.coalesce(physical.decoded(F.col("content"), F.col("enc.used")), physical.latin1(F.col("content"))))
     files = files.withColumn("lines", lines.split_any(text))
-    patterned = F.col("header_re").isNotNull() | F.col("footer_re").isNotNull()
-    is_header = lambda l: F.when(
-        patterned, ~pt.matches(l, F.col("ignore_re")) & pt.matches(l, F.col("header_re"))
-    ).otherwise(~pt.matches(l, F.col("ignore_re")))
-    at, c_at = F.array_position(F.transform("lines", is_header), F.lit(True)).cast("int"), F.col("_at")
+    at, c_at = F.array_position(F.transform("lines", _is_header), F.lit(True)).cast("int"), F.col("_at")
     return (
-        files.withColumn("patterned", patterned).withColumn("_at", at)
+        files.withColumn("_at", at)
         # the line that names the columns: the first header line, or the first line where none is marked
         .withColumn("header_no", F.when(c_at > 0, c_at - 1).otherwise(0)).drop("_at")
         .withColumn("header", F.when(F.size("lines") > 0, quality.csv_fields(F.get("lines", F.col("header_no")), F.col("delimiter"))).otherwise(
@@ -132,12 +237,8 @@ def _facts(landed: DataFrame, contracts: DataFrame) -> DataFrame:
 
 # -- lines -----------------------------------------------------------------------------------
 
-def _body(files: DataFrame) -> DataFrame:
-    """One row per line with its class and, for data lines, cells, violations and amounts."""
-    keep = ["file_id", "delimiter", "header", "header_no", "patterned", "header_re", "footer_re", "ignore_re", "count_pattern",
-            "non_null_columns", "numeric_columns", "numeric_ranges", "header_total_columns", "line_amount_columns",
-            "tax_columns", "net_sales_columns", "tender_columns"]
-    rows = files.select(*keep, F.posexplode("lines").alias("line_no", "line"))
+def _body(rows: DataFrame) -> DataFrame:
+    """Numbered lines with their class and, for data lines, cells, violations and amounts."""
     by_pattern = lines.engine_class(F.col("line"), F.col("header_re"), F.col("footer_re"), F.col("ignore_re"))
     rows = rows.withColumn("row_class", F.when(F.col("patterned"), by_pattern).otherwise(
         F.when(pt.matches(F.col("line"), F.col("ignore_re")), "ignore").when(F.col("line_no") == F.col("header_no"), "header").otherwise("data")))
