@@ -53,11 +53,12 @@ def history_scope(history: DataFrame, keys: list[str], date: str, since: Column,
     )
 
 
-def scoped(asked: DataFrame, history: DataFrame, scope: list[str]) -> DataFrame:
-    """History under the scopes asked for: a key that is null on either side matches every value.
+def scoped(asked: DataFrame, reduced: DataFrame, scope: list[str]) -> DataFrame:
+    """Reduced history under the scopes asked for: a key that is null on either side matches every value.
 
-    Askers look up each combination of their values and null, so a run with keys is found by an equi-join. Askers that
-    lack a key themselves meet the runs on the keys they have.
+    `asked` has one row per scope, `reduced` one row per scope and day or hash, never one per run. Askers look up each
+    combination of their values and null, so a row with keys is found by an equi-join. Askers that lack a key
+    themselves meet the rows on the keys they have; the one scope without any key meets them all.
     """
     parts = []
     for mask in range(1 << len(scope)):
@@ -66,20 +67,24 @@ def scoped(asked: DataFrame, history: DataFrame, scope: list[str]) -> DataFrame:
         for k in scope:
             mine = mine.where(F.col(k).isNotNull() if k in have else F.col(k).isNull())
         left = mine.select(*[F.col(k).alias(f"_a_{k}") for k in scope])
-        looked = left.withColumns({f"_k_{k}": F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))) for k in have[:1]})
-        for k in have[1:]:
-            looked = looked.withColumn(f"_k_{k}", F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))))
-        if have:
-            on = [F.col(f"_k_{k}").eqNullSafe(history[k]) for k in have]
-            parts.append(looked.join(history, on).drop(*scope, *[f"_k_{k}" for k in have]))
-        elif left.limit(1).count():  # the scope without any key
-            parts.append(history.drop(*scope).withColumns({f"_a_{k}": F.lit(None).cast("string") for k in scope}))
+        for k in have:
+            left = left.withColumn(f"_k_{k}", F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))))
+        if not have:
+            left = F.broadcast(left.withColumn("_k_all", F.lit(1)).limit(1))  # at most the one scope of nulls
+        on = [F.col(f"_k_{k}").eqNullSafe(reduced[k]) for k in have] or [F.col("_k_all") == F.lit(1)]
+        parts.append(left.join(reduced, on).drop(*scope, "_k_all", *[f"_k_{k}" for k in have]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumnsRenamed({f"_a_{k}": k for k in scope})
 
 
+def regrouped(found: DataFrame, by: list[str]) -> DataFrame:
+    """Reduced rows that `scoped` brought together, reduced again: sums of counts and moments, extremes of the rest."""
+    merge = {"low_hash": F.min, "high_hash": F.max, "last_released_on": F.max}
+    return found.groupBy(*by).agg(*[merge.get(c, F.sum)(c).alias(c) for c in found.columns if c not in by])
+
+
 def joined_by_scope(left: DataFrame, right: DataFrame, scope: list[str], keys: list[str], how: str = "left") -> DataFrame:
     """Join on the scope, where null equals null, and on further keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in [*scope, *keys]})
@@ -101,15 +106,54 @@ def released_hashes(history: DataFrame, scope: list[str], date: str, checksum: s
     )
 
 
-def earliest_matches(history: DataFrame, scope: list[str], checksum: str, outcome: str, run: str,
-                     keep: int = 10) -> DataFrame:
-    """Up to ten released runs per hash, as evidence; the duplicate verdict does not depend on it."""
-    w = Window.partitionBy(*scope, checksum).orderBy(run)
-    return (
-        history.where(upper_outcome(F.col(outcome)).isin(fx.RELEASED))
-        .withColumn("match_no", F.row_number().over(w)).where(F.col("match_no") <= keep)
-        .select(*scope, checksum, run, outcome, "match_no")
-    )
+EVIDENCE = 10
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], keep: int = EVIDENCE) -> DataFrame:
+    """The first rows of every group. Tasks pass on no more than `keep` of a group, so no group is ever gathered."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= keep).drop("_rank")
+
+
+def listed(rows: DataFrame, by: list[str], item: list[str], name: str) -> DataFrame:
+    """One list per group of rows that `first_rows` has bounded, in the order of the item's columns."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*item))).alias(name))
+
+
+def matching_runs(history: DataFrame, asked: DataFrame, scope: list[str], date: str, checksum: str, outcome: str, run: str,
+                  keep: int = EVIDENCE) -> DataFrame:
+    """Evidence for duplicates: (scope, checksum, matches), the newest released runs with the payload asked about.
+
+    asked: scope and checksum, a row each. Ties of a date go by run id. matches: array of (age, run, date, outcome).
+    """
+    wanted = asked.select(checksum).distinct()
+    order = [F.col(date).desc_nulls_last(), F.col(run)]
+    rows = history.where(upper_outcome(F.col(outcome)).isin(fx.RELEASED)).join(wanted, checksum, "left_semi").select(*scope, checksum, run, date, outcome)
+    found = first_rows(scoped(asked.select(*scope).distinct(), first_rows(rows, [*scope, checksum], order, keep), scope), [*scope, checksum], order, keep)
+    age = F.coalesce(-F.unix_date(F.col(date)), F.lit(1 << 30))
+    return listed(found.withColumn("age", age), [*scope, checksum], ["age", run, date, outcome], "matches")
+
+
+def conflicting_runs(history: DataFrame, asked: DataFrame, scope: list[str], date: str, checksum: str, outcome: str, run: str,
+                     keep: int = EVIDENCE) -> DataFrame:
+    """Evidence for drift: (scope, date, certified), certified runs of the days asked about: of each of the keep + 1 hashes
+    that come first by run id, the first `keep` runs. Whatever hash an asker has, its first conflicts are among them."""
+    days = asked.select(date).distinct()
+    certified = upper_outcome(F.col(outcome)).isin(fx.CERTIFIED) & (F.coalesce(F.col(checksum), F.lit("")) != "")
+    rows = history.where(certified).join(days, date, "left_semi").select(*scope, date, checksum, run, outcome)
+
+    def bounded(some: DataFrame) -> DataFrame:
+        some = first_rows(some, [*scope, date, checksum], [F.col(run)], keep)
+        best = F.min(run).over(Window.partitionBy(*scope, date, checksum))
+        rank = F.dense_rank().over(Window.partitionBy(*scope, date).orderBy("_best", checksum))
+        return some.withColumn("_best", best).withColumn("_rank", rank).where(F.col("_rank") <= keep + 1).drop("_best", "_rank")
+
+    found = bounded(scoped(asked.select(*scope).distinct(), bounded(rows), scope))
+    return listed(found, [*scope, date], [run, checksum, outcome], "certified")
+
+
+def conflicts(certified: Column, checksum: str, own: Column, keep: int = EVIDENCE) -> Column:
+    """The first certified runs with another hash than one's own."""
+    return F.slice(F.filter(certified, lambda r: r[checksum] != own), 1, keep)
 
 
 def certified_days(history: DataFrame, scope: list[str], date: str, checksum: str, outcome: str) -> DataFrame:
@@ -173,24 +217,32 @@ def rolling(days: DataFrame, scope: list[str], date: str, window_days: int, same
 def baseline_for(asked: DataFrame, days: DataFrame, scope: list[str], date: str, window_days: Column,
                  same_weekday: Column, sums: tuple[str, ...] = ("n", "s", "ss"),
                  oldest: Column | None = None) -> DataFrame:
-    """Baseline sums for the (scope, day) pairs asked for (current-batch form).
+    """Baseline sums for the (scope, day) pairs asked for (current-batch form), by differences of running sums.
 
-    Each distinct pair is expanded to the days of its window and meets the day totals in an
-    equi-join; no range join, no hot key.
+    A scope's day totals are summed up along its days, once over all days and once per weekday; a window is what the
+    sum has gained between its two ends. Ends are rows among the days, so both lookups are one running sum: no
+    row per day of a window, and a partition holds as many rows as a scope has days and ends. `sums` come in threes: a
+    count, a sum and a sum of squares. Windows without any run have no row.
     """
-    span = F.greatest(F.lit(1), window_days)
-    # the days of the window that count: all of them, or every seventh backwards
-    ages = F.sequence(F.lit(1), span)
-    kept = F.when(same_weekday, F.filter(ages, lambda a: a % 7 == 0)).otherwise(ages)
+    settings = [c for c in asked.columns if c not in scope and c != date]
+    low = F.date_sub(F.col(date), F.greatest(F.lit(1), window_days).cast("int"))
     if oldest is not None:
-        kept = F.filter(kept, lambda a: F.date_sub(F.col(date), a.cast("int")) >= oldest)
+        low = F.greatest(low, oldest)
     # contracts with other windows on one scope and day have baselines of their own
-    settings = [c for c in asked.columns if c not in scope and c != date]
-    pairs = asked.select(*scope, date, *settings, kept.alias("_ages")).distinct()
-    wanted = pairs.select(*scope, date, *settings, F.explode("_ages").alias("_age")).withColumn(
-        "_day", F.date_sub(F.col(date), F.col("_age").cast("int")))
-    found = joined_by_scope(wanted, days.withColumnRenamed(date, "_day"), scope, ["_day"], "inner")
-    return found.groupBy(*scope, date, *settings).agg(*[F.sum(c).alias(f"base_{c}") for c in sums])
+    pairs = asked.distinct().withColumn("_low", F.least(low, F.col(date))).withColumn("_lane", F.when(same_weekday, F.weekday(date)).otherwise(-1))
+    pairs = pairs.where(F.col(date).isNotNull())
+    ends = pairs.select(*scope, "_lane", F.explode(F.array("_low", date)).alias("_day")).distinct()
+    zero = [F.lit(0).cast(days.schema[c].dataType).alias(c) for c in sums]
+    lanes = days.select(*scope, F.explode(F.array(F.lit(-1), F.weekday(date))).alias("_lane"), F.col(date).alias("_day"), F.lit(1).alias("_kind"), *sums)
+    both = ends.select(*scope, "_lane", "_day", F.lit(0).alias("_kind"), *zero).unionByName(lanes)
+    so_far = Window.partitionBy(*scope, "_lane").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.select(*scope, "_lane", "_day", "_kind", *[F.sum(c).over(so_far).alias(c) for c in sums]).where("_kind = 0").drop("_kind")
+    at = lambda day, name: summed.withColumnsRenamed({"_day": day, **{c: f"_{name}_{c}" for c in sums}})
+    found = joined_by_scope(joined_by_scope(pairs, at("_low", "from"), scope, ["_lane", "_low"], "inner"), at(date, "to"), scope, ["_lane", date], "inner")
+    gain = {c: F.col(f"_to_{c}") - F.col(f"_from_{c}") for c in sums}
+    values = [(gain[c] if i % 3 == 0 else F.when(gain[sums[i - i % 3]] > 0, gain[c])).alias(f"base_{c}") for i, c in enumerate(sums)]
+    some = F.greatest(*[gain[c] for c in sums[::3]], F.lit(0)) > 0
+    return found.where(some).select(*scope, date, *settings, *values)
 
 
 def z_score(value: Column, n: Column, s: Column, ss: Column) -> Column:

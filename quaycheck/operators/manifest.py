@@ -84,13 +84,19 @@ def with_variance(gate: Column, rule_name: Column, message: Column, info: Column
     )
 
 
-def manifest_items(evaluations: DataFrame, rows: DataFrame, run: str) -> DataFrame:
+def manifest_items(evaluations: DataFrame, rows: DataFrame, run: str, record: str | None = None) -> DataFrame:
     """One item per failed evaluation that was not skipped.
 
     evaluations: run, gate, ord, rule_name, passed, skipped, message, details.
-    rows: run, gate, rule_name, row_no; counted per rule before it is joined.
+    rows: run, gate, rule_name, row_no, and with `record` the text of the row; counted per rule before it is joined.
+    With `record`, an item has `samples`: its first three offending rows with their text.
     """
     counted = rows.groupBy(run, "gate", "rule_name").agg(F.count_distinct("row_no").alias("indexed_rows"))
+    if record:
+        first = sample_rows(rows, run, record=record).groupBy(run, "gate", "rule_name").agg(
+            F.array_sort(F.collect_list(F.struct("row_no", F.col(record).alias("record")))).alias("samples"))
+        counted = counted.join(first, [run, "gate", "rule_name"], "left")
+    more = [F.coalesce("samples", F.array().cast("array<struct<row_no:int,record:string>>")).alias("samples")] if record else []
     failed = evaluations.where(~F.col("passed") & ~F.coalesce(F.col("skipped"), F.lit(False)))
     items = (
         failed.join(counted, [run, "gate", "rule_name"], "left")
@@ -111,7 +117,7 @@ def manifest_items(evaluations: DataFrame, rows: DataFrame, run: str) -> DataFra
             F.coalesce(stated, F.when(F.col("indexed_rows") > 0, F.col("indexed_rows")), F.lit(1))).cast("bigint"))
         .withColumn("suggested_category", cat)
         .withColumn("decision_guidance", guidance(F.col("rule_id"), F.col("suggested_category"), F.col("is_file_level"), F.col("message")))
-        .select(run, "gate", "ord", "rule_id", "affected_rows", "suggested_category", "message", "is_file_level", "decision_guidance")
+        .select(run, "gate", "ord", "rule_id", "affected_rows", "suggested_category", "message", "is_file_level", "decision_guidance", *more)
     )
 
 
@@ -134,9 +140,13 @@ def guaranteed_items(runs: DataFrame, items: DataFrame, run: str) -> DataFrame:
     )
 
 
-def sample_rows(rows: DataFrame, run: str, keep: int = 3) -> DataFrame:
-    """First offending rows of each rule. Spark drops the rest of a group before the shuffle."""
+def sample_rows(rows: DataFrame, run: str, keep: int = 3, record: str | None = None) -> DataFrame:
+    """First offending rows of each rule, with their text if asked for. Tasks pass on no more than `keep` rows of a group:
+    a row's several offences against a rule are one to `dense_rank`, and made one after it."""
     w = Window.partitionBy(run, "gate", "rule_name").orderBy("row_no")
+    if record:
+        near = rows.select(run, "gate", "rule_name", "row_no", record).withColumn("sample_no", F.dense_rank().over(w)).where(F.col("sample_no") <= keep)
+        return near.dropDuplicates([run, "gate", "rule_name", "row_no"])
     distinct = rows.select(run, "gate", "rule_name", "row_no").distinct()
     return distinct.withColumn("sample_no", F.row_number().over(w)).where(F.col("sample_no") <= keep)
 

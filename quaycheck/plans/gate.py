@@ -37,8 +37,10 @@ class GateRun:
             self.reports, ["file_id"], [("gate_1", "g1"), ("gate_2", "g2"), ("gate_3", "g3"), ("gate_4", "g4")])
 
     def manifest(self) -> DataFrame:
-        items = manifest.manifest_items(self.findings(), self.violations, "file_id")
-        return items.unionByName(manifest.guaranteed_items(self.reports, items, "file_id"))
+        """Items with up to three sample records each; what blocks a run without any finding of its own has one too."""
+        items = manifest.manifest_items(self.findings(), self.violations, "file_id", record="record")
+        more = manifest.guaranteed_items(self.reports, items, "file_id").withColumn("samples", F.array().cast(items.schema["samples"].dataType))
+        return items.unionByName(more)
 
 
 def evaluate(landed: DataFrame, contracts: DataFrame, history: DataFrame, as_of: Column,
@@ -388,16 +390,26 @@ def _gate_two(files: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     files = files.withColumn("oldest_day", F.date_sub(as_of, lookback))
     asking = files.where(~c("skip_two"))
     known = history.withColumnRenamed("business_date", "day")
-    # a stored run without property or report type is history of all, and a file without one has the history of all
-    known = anomaly.scoped(asking.select(*SCOPE).distinct(), known, SCOPE)
-    hashes = anomaly.released_hashes(known, SCOPE, "day", "checksum_sha256", "overall_outcome").withColumnRenamed("checksum_sha256", "checksum")
-    certified = anomaly.certified_days(known, SCOPE, "day", "checksum_sha256", "overall_outcome").withColumnRenamed("day", "business_date")
-    days = anomaly.baseline_days(known, SCOPE, "day", "row_count", "net_amount", "overall_outcome").withColumnRenamed("day", "business_date")
+    if "run_id" not in known.columns:
+        known = known.withColumn("run_id", F.lit(None).cast("string"))
+    # history is reduced before it meets a scope; a stored run without property or report type is history of all, and
+    # a file without one has the history of all
+    asked = staged(asking.select(*SCOPE, "checksum", "business_date").distinct(), "asked")
+    scopes = asked.select(*SCOPE).distinct()
+    args = ("day", "checksum_sha256", "overall_outcome")
+    under = lambda reduced, by: anomaly.regrouped(anomaly.scoped(scopes, reduced, SCOPE), [*SCOPE, *by])
+    hashes = under(anomaly.released_hashes(known, SCOPE, *args), ["checksum_sha256"]).withColumnRenamed("checksum_sha256", "checksum")
+    certified = under(anomaly.certified_days(known, SCOPE, *args), ["day"]).withColumnRenamed("day", "business_date")
+    days = under(anomaly.baseline_days(known, SCOPE, "day", "row_count", "net_amount", "overall_outcome"), ["day"]).withColumnRenamed("day", "business_date")
     sums = ("n", "s", "ss", "an", "asum", "ass")
     base = anomaly.baseline_for(asking.select(*SCOPE, "business_date", "window_days", "same_weekday", "oldest_day"), days, SCOPE,
                                 "business_date", c("window_days"), c("same_weekday"), sums, c("oldest_day"))
+    proof = asked.select(*SCOPE, c("checksum").alias("checksum_sha256"), c("business_date").alias("day"))
+    matches = anomaly.matching_runs(known, proof.where("checksum_sha256 IS NOT NULL"), SCOPE, *args, "run_id").withColumnRenamed("checksum_sha256", "checksum")
+    rivals = anomaly.conflicting_runs(known, proof.where("day IS NOT NULL"), SCOPE, *args, "run_id").withColumnRenamed("day", "business_date")
     joined = files
-    for found, keys in ((hashes, ["checksum"]), (certified, ["business_date"]), (base, ["business_date", "window_days", "same_weekday", "oldest_day"])):
+    for found, keys in ((hashes, ["checksum"]), (certified, ["business_date"]), (base, ["business_date", "window_days", "same_weekday", "oldest_day"]),
+                        (matches, ["checksum"]), (rivals, ["business_date"])):
         joined = anomaly.joined_by_scope(joined, found, SCOPE, keys)
     repeated = F.coalesce(c("last_released_on") >= c("oldest_day"), F.lit(False))
     drift = anomaly.drifted(c("checksum"), c("low_hash"), c("high_hash")) & F.coalesce(c("business_date") >= c("oldest_day"), F.lit(False))
@@ -410,9 +422,12 @@ def _gate_two(files: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     normal = (verdict == "COLD_START") | ((verdict == "NORMAL") & ~amount_out)
     checks = [
         outcome.Rung("G2_DUPLICATE_PAYLOAD", ~repeated, "QUARANTINE_FILE", F.when(~repeated, "Payload hash was not released before.").otherwise(
-            "FILE_ALREADY_INGESTED: Identical SHA256 payload hash exists in run history."), stop=False, info={"payload_hash": c("checksum"), "matches": c("released_runs")}),
+            "FILE_ALREADY_INGESTED: Identical SHA256 payload hash exists in run history."), stop=False, info={"payload_hash": c("checksum"), "released_runs": F.when(~repeated, None).otherwise(c("released_runs")), "matches": F.when(repeated, F.to_json(
+                F.transform("matches", lambda m: F.struct(m["run_id"].alias("run_id"), m["day"].alias("business_date"), F.upper(m["overall_outcome"]).alias("overall_outcome")))))}),
         outcome.Rung("G2_OVERLAP_DRIFT", ~drift, "FLAG", F.when(drift, "OVERLAP_DRIFT_DETECTED: New payload received for an already certified business date.").otherwise(
-            "No other payload for this business date."), stop=False),
+            "No other payload for this business date."), stop=False, info={"conflicts": F.when(drift, F.to_json(
+                F.transform(anomaly.conflicts(c("certified"), "checksum_sha256", c("checksum")), lambda r: F.struct(
+                    r["run_id"].alias("run_id"), c("business_date").alias("business_date"), r["checksum_sha256"].alias("prior_hash"), F.upper(r["overall_outcome"]).alias("overall_outcome")))))}),
         outcome.Rung("G2_FROZEN_WINDOW", frozen == "OPEN", "QUARANTINE_FILE", F.when(frozen == "OPEN", "Business date is within the open accounting window.").otherwise(
             F.concat(F.lit("FROZEN_WINDOW_VIOLATION: "), frozen)), stop=False),
         outcome.Rung("G2_ZSCORE_ANOMALY", F.coalesce(normal, F.lit(True)), "FLAG", F.when(verdict == "COLD_START", "Insufficient historical samples; z-score check skipped (cold-start).").when(
