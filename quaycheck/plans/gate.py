@@ -150,7 +150,8 @@ def _judged(facts: DataFrame, landed: DataFrame, contracts: DataFrame, history:
         "g1_outcome": outcome.ladder_outcome(F.col("g1")),
         "g1_reason": F.coalesce(outcome.first_failure(F.col("g1"))["message"], F.lit("All extraction checks passed.")),
     }), "gate1")
-    reports = _report(_gate_three_four(_gate_two(first, history, as_of)), as_of)
+    second = staged(_gate_two(first, history, as_of), "gate2")
+    reports = _report(_gate_three_four(second), as_of)
     violations = bad.where(F.size("bad") > 0).select("file_id", F.lit("gate_3").alias("gate"), "row_no", "line", F.inline("bad")).select(
         "file_id", "gate", F.col("rule").alias("rule_name"), "row_no", "column", "value", F.col("line").alias("record"))
     return GateRun(reports, violations)

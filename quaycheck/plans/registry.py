@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from quaycheck.plans import queries_files, queries_review, queries_runs  # noqa: F401
+    from quaycheck.plans import queries_files, queries_gate, queries_review, queries_runs  # noqa: F401
 
     return QUERIES, SQL
