@@ -35,15 +35,18 @@ def append_runs(reports: DataFrame, path: str, by: str = "business_date") -> Non
     reports.hint("rebalance", F.col(by)).write.mode("append").partitionBy(by).parquet(path)
 
 
-def new_runs_only(reports: DataFrame, stored: DataFrame, run: str = "run_id", by: str = "business_date") -> DataFrame:
+def new_runs_only(reports: DataFrame, stored: DataFrame, run: str | list[str] = "run_id", by: str = "business_date") -> DataFrame:
     """Reports whose run is not stored yet, each once: a replayed or repeated landing appends nothing twice.
 
-    Where both have the partition column, only the stored dates that the reports name are read.
+    Where both have the partition column, only the stored dates that the reports name are read; runs without a date are
+    looked for among the stored ones without. `run` may be several columns, such as a run and its outcome.
     """
-    reports = reports.dropDuplicates([run])
+    keys = [run] if isinstance(run, str) else run
+    reports = reports.dropDuplicates(keys)
     if by in reports.columns and by in stored.columns:
-        stored = stored.join(reports.select(by).distinct(), by, "left_semi")
-    return reports.join(stored.select(run), run, "left_anti")
+        dates = reports.select(F.col(by).alias("_by")).distinct()
+        stored = stored.join(dates, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    return reports.join(stored.select(*keys), keys, "left_anti")
 
 
 def align(rows: DataFrame, target: StructType | list[str]) -> DataFrame:

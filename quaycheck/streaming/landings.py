@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quaycheck.session import staged
 from quaycheck.sources import control
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -44,6 +45,57 @@ def evaluate_stream(landings: DataFrame, score: Callable[[DataFrame], DataFrame]
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+SET_KEY = ["batch_id", "contract_id", "property", "date"]
+
+
+def evaluate_sets_stream(landings: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], target: str, waiting: str, checkpoint: str,
+                         patience_days: int = 7, arrived: str = "arrived", once: bool = False, every: str = "1 minute") -> StreamingQuery:
+    """Scores micro-batches of files whose sets may complete later, in any batch and on any day.
+
+    landings: the columns `gate.evaluate` reads, and when a file came. score(files, siblings) gives reports.
+
+    Files reported HOLD_SET wait in a table, one version per micro-batch, so that a replayed batch starts from what its
+    first attempt started from. A later batch scores its own files with the names of all that wait, then scores again those
+    waiting files whose set a new file belongs to; a file's second report differs in its outcome and is appended
+    beside the first. Files of sets that stay incomplete are forgotten `patience_days` after they came, which bounds the
+    table; files without a time came with the last of their batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fs = spark._jvm.org.apache.hadoop.fs.Path(waiting).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = lambda path: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+        last = F.coalesce(F.lit(batch.agg(F.max(arrived)).first()[0]).cast("timestamp"), F.current_timestamp())
+        new = batch.withColumn(arrived, F.coalesce(F.col(arrived), last))
+        schema = ", ".join(f"`{n}` {t}" for n, t in new.dtypes) + ", property string, date string"
+        before = f"{waiting}/version={number - 1}"
+        held = spark.read.schema(schema).parquet(before) if there(before) else spark.createDataFrame([], schema)
+        names = ["batch_id", "contract_id", "filename"]
+        siblings = held.select(*names).unionByName(new.select(*names)).distinct()
+
+        first = staged(score(new, siblings), "stream-reports")
+        key = [F.element_at("tokens", t).alias(t) for t in ("property", "date")]
+        keyed = first.select("file_id", "overall_outcome", *key)
+        mine = new.join(keyed, "file_id")
+        touched = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in SET_KEY]
+        keys = mine.select(*[F.col(k).alias(f"_{k}") for k in SET_KEY]).distinct()
+        again = staged(held.join(keys, touched, "left_semi"), "stream-again")
+        second = staged(score(again.drop("property", "date"), siblings), "stream-second") if again.limit(1).count() else first.limit(0)
+        reports = first.unionByName(second)
+        if there(target):
+            reports = control.new_runs_only(reports, spark.read.schema(reports.schema).parquet(target), ["run_id", "overall_outcome"])
+        else:
+            reports = reports.dropDuplicates(["run_id", "overall_outcome"])
+        control.append_runs(reports, target)
+
+        released = second.where("overall_outcome <> 'HOLD_SET'").select("file_id")
+        wait = held.join(released, "file_id", "left_anti").unionByName(mine.where("overall_outcome = 'HOLD_SET'").drop("overall_outcome"))
+        wait.where(F.col(arrived) >= last - F.make_dt_interval(F.lit(patience_days))).write.mode("overwrite").parquet(f"{waiting}/version={number}")
+
+    writer = landings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def distinct_payloads(landings: DataFrame, checksum: str, arrived: str, delay: str) -> DataFrame:
     """Landings without those whose payload already came in within the delay; older ones are found in history."""
     return landings.withWatermark(arrived, delay).dropDuplicatesWithinWatermark([checksum])
@@ -84,7 +136,9 @@ def released_sets(landings: DataFrame, key: str, member: str, members: list[str]
             latest = timerValues.getCurrentWatermarkInMs()
             fresh = not list(self.handle.listTimers())
             for batch in rows:
-                latest = max(latest, int(batch[arrived].max().timestamp() * 1000))
+                last = batch[arrived].max()  # files without a time take part, but move no clock
+                if not pd.isna(last):
+                    latest = max(latest, int(last.timestamp() * 1000))
                 for m in set(batch[member]):
                     if m in wanted:
                         self.present.updateValue((m,), (True,))

@@ -82,3 +82,46 @@ def test_evaluated_stream_appends_once(spark, tmp_path):
     # a second run without its checkpoint replays the files and adds nothing
     landings.evaluate_stream(stream, score, target, str(tmp_path / "c2"), once=True).awaitTermination(240)
     assert spark.read.parquet(target).count() == 3
+
+
+def test_sets_that_complete_in_later_batches_equal_the_batch_plan(spark, tmp_path):
+    """Members of a set come in three micro-batches, before and after midnight, one of them late; another set never completes."""
+    day = lambda s: f"2025-03-{s}"
+    pieces = [  # file, batch, kind, business day, arrived
+        [("t", "b", "tickets", "20250314", day("14T23:58:00")), ("x", "b", "tickets", "20250315", day("14T23:58:30")), ("solo", "c", "refunds", "20250314", day("14T23:59:00"))],
+        [("r", "b", "refunds", "20250314", day("15T00:01:00")), ("y", "b", "boardings", "20250315", None)],
+        [("b", "b", "boardings", "20250314", day("14T22:00:00"))],
+    ]
+    schema = "file_id string, batch_id string, property_id string, contract_id string, filename string, path string, content binary, arrived timestamp"
+    folder = tmp_path / "in"
+    rows = [[(f, b, QUAY, "pos", pos_name(kind, d), None, pos_body(2 + i), dt.datetime.fromisoformat(at) if at else None) for i, (f, b, kind, d, at) in enumerate(p)] for p in pieces]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder / f"p{i}"))
+        for f in (folder / f"p{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    docs = contracts.normalise(spark.createDataFrame([("pos", pos_contract())], "contract_id string, doc string"), "contract_id", "doc")
+    history = spark.createDataFrame([], "run_id string, property_id string, report_type string, business_date date, overall_outcome string, checksum_sha256 string, row_count bigint, net_amount double")
+    as_of = F.lit(dt.date(2025, 3, 16))
+    score = lambda files, siblings: gate.evaluate(files.drop("arrived"), docs, history, as_of, siblings=siblings).reports
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(str(folder))
+    target, waiting = str(tmp_path / "runs"), str(tmp_path / "waiting")
+    q = landings.evaluate_sets_stream(stream, score, target, waiting, str(tmp_path / "ck"), once=True)
+    q.awaitTermination(600)
+    out = spark.read.parquet(target).select("file_id", "overall_outcome").collect()
+    said = {f: sorted(r.overall_outcome for r in out if r.file_id == f) for f in {r.file_id for r in out}}
+    whole = gate.evaluate(spark.createDataFrame([r for p in rows for r in p], schema).drop("arrived"), docs, history, as_of).reports
+    final = {r.file_id: r.overall_outcome for r in whole.select("file_id", "overall_outcome").collect()}
+    assert final == {"t": "PASS", "r": "PASS", "b": "PASS", "x": "HOLD_SET", "y": "HOLD_SET", "solo": "HOLD_SET"}
+    assert said == {"t": ["HOLD_SET", "PASS"], "r": ["HOLD_SET", "PASS"], "b": ["PASS"], "x": ["HOLD_SET"], "y": ["HOLD_SET"], "solo": ["HOLD_SET"]}
+    assert {r.file_id for r in spark.read.parquet(f"{waiting}/version=2").collect()} == {"x", "y", "solo"}
+
+
+def test_undated_and_repeated_runs_are_stored_once(spark):
+    from quaycheck.sources import control
+
+    schema = "run_id string, overall_outcome string, business_date date"
+    day = dt.date(2025, 3, 14)
+    stored = spark.createDataFrame([("a", "PASS", day), ("b", "FLAG", None)], schema)
+    reports = spark.createDataFrame([("a", "PASS", day), ("b", "FLAG", None), ("b", "FLAG", None), ("c", "PASS", None), ("c", "PASS", None), ("a", "HOLD_SET", day)], schema)
+    assert {r.run_id for r in control.new_runs_only(reports, stored).collect()} == {"c"}
+    assert sorted((r.run_id, r.overall_outcome) for r in control.new_runs_only(reports, stored, ["run_id", "overall_outcome"]).collect()) == [("a", "HOLD_SET"), ("c", "PASS")]
