@@ -9,7 +9,8 @@ broadcast by force.
 
 A row is rejected if its text has fewer than `least` known trigrams, or if no language reaches `sure`.
 
-Languages are the declared codes that hold at least 1/`share` of all declared rows, so at most `share` of them. Null and
+Languages are all codes of two or three letters that any row declares, however few; a row carries a number for each of
+them, and a model holds as many as languages x letter buckets. Null and
 empty texts have no evidence: they get the other evidence's language and are rejected. Null or unknown declared values,
 addresses and hosts say nothing of their own. Repeated rows and null ids are judged each. Columns named like the
 results are replaced, all others pass unchanged. Without any declared row the language is null and all are rejected.
@@ -64,23 +65,29 @@ def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             text, declared = batch.columns
             who = np.array([place.get(d, -1) for d in declared.to_pylist()])
             for lo, hi in slices(text):
                 g, at = trigrams(text.slice(lo, hi - lo))
                 own = np.repeat(who[lo:hi], np.diff(at))
-                for i in range(len(languages)):
-                    total[i] += np.bincount(g[own == i], minlength=BUCKETS)
-        i, b = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "b": pa.array(b, pa.int32()), "n": pa.array(total[i, b])})
+                for i in np.unique(own[own >= 0]).tolist():
+                    total[i] = total.get(i, 0) + np.bincount(g[own == i], minlength=BUCKETS)
+        for i, row in total.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "n": pa.array([row.tobytes()], pa.binary())})
 
-    sums = rows.select("text", "declared").mapInArrow(count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n"))
-    out = np.full((len(languages), BUCKETS), 0.5)
-    for r in sums.collect():  # at most languages x BUCKETS rows
-        out[r[0], r[1]] += r[2]
-    return np.log(out / out.sum(1, keepdims=True))
+    def add(group: pa.Table) -> pa.Table:
+        row = np.zeros(BUCKETS, np.int64)
+        for n in group["n"].to_pylist():
+            row += np.frombuffer(n, np.int64)
+        return pa.table({"i": group["i"].slice(0, 1), "n": pa.array([row.tobytes()], pa.binary())})
+
+    sums = rows.select("text", "declared").mapInArrow(count, "i int, n binary").groupBy("i").applyInArrow(add, "i int, n binary")
+    out = np.full((len(languages), BUCKETS), 0.5, np.float32)
+    for r in sums.collect():  # a row of fixed size for each language
+        out[r[0]] += np.frombuffer(r[1], np.int64)
+    return np.log(out / out.sum(1, keepdims=True, dtype=np.float64))
 
 
 def host_of(address: Column) -> Column:
@@ -143,7 +150,7 @@ def _smoothed(sums: Column, prior: Column, weight: float) -> Column:
 
 def identify(
     rows: DataFrame, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, carry: list[str] | None = None,
-    share: int = 256, temper: float = 12.0, weight: float = 20.0, least: int = 1, sure: float = 0.5,
+    temper: float = 12.0, weight: float = 20.0, least: int = 1, sure: float = 0.5,
 ) -> DataFrame:
     """Rows with language, probability, text_language and kept; `carry` names the columns that come along (default: all).
 
@@ -153,9 +160,7 @@ def identify(
     columns = [c for c in (carry if carry is not None else rows.columns) if c not in RESULTS]
     code = lambda c: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
     full = rows.withColumns({"__declared": none if declared is None else code(declared), "__host": none if host is None else host, "__suffix": none if suffix is None else suffix})
-    counts = full.where("__declared <> ''").groupBy(F.col("__declared").alias("d")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    languages = sorted(r[0] for r in counts.where(F.col("count") * share >= total).collect())
+    languages = sorted(r[0] for r in full.where("__declared <> ''").select("__declared").distinct().collect())
     if not languages:
         return rows.drop(*RESULTS).select(*columns).withColumns({"language": none, "probability": F.lit(0.0), "text_language": none, "kept": F.lit(False)})
     n = len(languages)
@@ -179,8 +184,10 @@ def identify(
         return sums.select(key, F.transform(F.zip_with(_smoothed(F.col("sums"), flat, weight), flat, lambda a, b: a / b), lambda x: F.log(x)).alias(f"{key}_logs"))
 
     by_suffix = _sums(said.where(F.col("__suffix").isNotNull()), n, "__suffix").select("__suffix", _smoothed(F.col("sums"), flat, weight).alias("parent"))
-    hosts = _sums(said.where(F.col("__host").isNotNull()), n, "__host", "__suffix").join(by_suffix, "__suffix", "left")
-    hosts = staged(hosts.select("__host", F.transform(_smoothed(F.col("sums"), F.coalesce("parent", flat), weight), lambda x: F.log(x)).alias("__host_logs")).dropDuplicates(["__host"]), "hosts")
+    hosted = said.where(F.col("__host").isNotNull())
+    suffixes = hosted.groupBy("__host").agg(F.max("__suffix").alias("__suffix"))  # one, unless the caller gives a host several
+    hosts = _sums(hosted, n, "__host").join(suffixes, "__host").join(by_suffix, "__suffix", "left")
+    hosts = staged(hosts.select("__host", F.transform(_smoothed(F.col("sums"), F.coalesce("parent", flat), weight), lambda x: F.log(x)).alias("__host_logs")), "hosts")
     declared_logs, suffix_logs = staged(likelihood("__declared"), "declared"), staged(likelihood("__suffix"), "suffixes")
 
     out = with_text_evidence(full.withColumn("__declared", known), model, text, temper, [*columns, *keys])

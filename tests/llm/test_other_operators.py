@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,55 @@ def test_language_by_all_evidence(spark):
     assert got[903].language == "de" and got[None].language == "fr" and len(got) == len(rows)
 
 
+def test_a_language_of_one_row_in_ten_thousand_is_found(spark):
+    rows = [(i, speech("en", i), "en") for i in range(9_998)] + [(20_000, "kaixo mundua etxeko txakurra zuriekin", "eu"), (20_001, "etxeko txakurra zuriekin mundua kaixo", None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), declared=F.col("lang")).where("doc_id >= 9990").collect()}
+    assert got[20_000].language == "eu" and got[20_001].text_language == "eu" and got[9_990].language == "en"
+
+
+def test_language_against_plain_numbers(spark):
+    """Text, declared, suffix and host evidence added up in plain Python for every row."""
+    rows = [(i, speech(("en", "de", "fr")[i % 3], i, 2 + i % 9), (None, "en", "de", "fr", "DE-at")[i % 5], ("h1", "h2", None, "h3")[i % 4], ("uk", "de", None, None)[i % 4]) for i in range(150)] + [(999, None, "fr", "h1", "uk")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string")
+    got = {r.doc_id: r for r in language_id.identify(docs, declared=F.col("lang"), host=F.col("host"), suffix=F.col("suffix")).collect()}
+    names, weight, temper, buckets = ["de", "en", "fr"], 20.0, 12.0, language_id.BUCKETS
+    code = lambda c: c and c[:2].lower()
+    grams = {}
+    for i, t, *_ in rows:
+        g, at = language_id.trigrams(pa.array([t], pa.string()))
+        grams[i] = g
+    counts = {x: np.full(buckets, 0.5) for x in names}
+    for i, _, d, *_ in rows:
+        if d:
+            np.add.at(counts[code(d)], grams[i], 1)
+    logs = np.log(np.stack([counts[x] / counts[x].sum() for x in names]))
+    soft = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    said = {}
+    for i, *_ in rows:
+        n = len(grams[i])
+        sums = logs[:, grams[i]].sum(1)
+        said[i] = (sums - sums.max()) * (min(1.0, temper / max(1.0, math.sqrt(n))) if n else 0.0)
+    seen = [r for r in rows if len(grams[r[0]])]
+    base = sum(soft(said[r[0]]) for r in seen) + 1.0
+    flat = base / base.sum()
+    total = lambda use: sum((soft(said[r[0]]) for r in seen if use(r)), np.zeros(3))
+    smooth = lambda s, prior: (s + weight * prior) / (s.sum() + weight)
+    for i, _, d, h, x in rows:
+        score = said[i].copy()
+        if d:
+            score += np.log(smooth(total(lambda r: code(r[2]) == code(d)), flat) / flat)  # noqa: B023
+        if x:
+            score += np.log(smooth(total(lambda r: r[4] == x), flat) / flat)  # noqa: B023
+        if h:
+            parent = smooth(total(lambda r: r[4] == x), flat) if x else flat  # noqa: B023
+            score += np.log(smooth(total(lambda r: r[3] == h), parent))  # noqa: B023
+        else:
+            score += np.log(flat)
+        p = soft(score)
+        assert got[i].language == names[int(p.argmax())] and abs(got[i].probability - p.max()) < 1e-5, i
+        assert got[i].kept == (len(grams[i]) >= 1 and p.max() >= 0.5)
+
+
 def test_language_without_evidence(spark, no_docs, odd_docs):
     assert language_id.identify(no_docs, declared=F.col("lang")).collect() == []
     got = language_id.identify(odd_docs).collect()
@@ -116,6 +167,51 @@ def test_classifier_without_both_classes_keeps_all(spark, odd_docs, no_docs, lab
     assert quality_classifier.classify(no_docs, labels).collect() == []
 
 
+def test_marks_cover_all_rows_and_equal_plain_sums(spark):
+    """Co-training against the same steps on one matrix of all rows: no row without a label is left out."""
+    rng = np.random.default_rng(3)
+    rows = [(i, sentence(i, 30) if rng.random() < 0.6 else "### $$$ " * 9 + sentence(i, 6), "en", f"s{i % 4}", int(rng.integers(5, 900))) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    labels = spark.createDataFrame([(i, int("#" not in t)) for i, t, *_ in rows if i % 3 == 0] + [(1, None), (None, 1)], "doc_id long, quality int")
+    meta = ["lang", "source", "n_chars"]
+    q = quality_classifier
+    table = q.viewed(docs, labels, "doc_id", "text", meta, "quality").toPandas()
+    assert len(table) == 900 and (table.y >= 0).sum() == 300 and (table.y == -1).sum() == 1
+    view = {n: np.stack([np.frombuffer(b, "<f4").astype(float) for b in table[n]]) for n in ("text", "meta")}
+    y, held, pool = table.y.to_numpy(), (table.key % 4 == 0).to_numpy(), table.y.isna().to_numpy()
+    seed, test = (y >= 0) & ~held, (y >= 0) & held
+    models = {n: q.fit(x[seed], y[seed], x[test], y[test]) for n, x in view.items()}
+    used = 0
+    for _ in range(3):
+        told = q.marks(models, {n: x[pool] for n, x in view.items()}, 0.9)
+        new = {}
+        for n, x in view.items():
+            use, w = told[n] >= 0, models[n].weights
+            used += use.sum()
+            for _ in range(2):
+                z, zp = (np.c_[models[n].standard(v), np.ones(len(v))] for v in (x[seed], x[pool][use]))
+                p, pp = (1 / (1 + np.exp(-np.clip(v @ w, -30, 30))) for v in (z, zp))
+                share, ridge = min(1, len(z) / max(1, len(zp))), np.r_[np.ones(len(w) - 1), 1e-6]
+                bend = (z * (p * (1 - p))[:, None]).T @ z + share * (zp * (pp * (1 - pp))[:, None]).T @ zp + np.diag(ridge)
+                w = w - np.linalg.solve(bend, z.T @ (p - y[seed]) + share * zp.T @ (pp - told[n][use]) + ridge * w)
+            new[n] = models[n].calibrated(w, x[test], y[test])
+        models = new
+    assert used > 1000
+    model = q.train(docs, labels, "doc_id", "text", meta, "quality", 10_000, 3, 2, 0.9, 0.998)
+    for n in view:
+        assert np.allclose(getattr(model, n).odds(view[n]), models[n].odds(view[n]), atol=1e-6)
+    got = {r.doc_id: r for r in q.classify(docs, labels, sure=0.9).collect()}
+    assert np.mean([got[i].kept == ("#" not in t) for i, t, *_ in rows]) > 0.98
+
+
+def test_a_labelled_id_that_repeats_is_bounded(spark):
+    docs = spark.range(60_000).selectExpr("IF(id < 50000, 7, id) AS doc_id", "IF(id % 2 = 0, 'fine words in a row', '# $ # $') AS text", "'en' AS lang", "'s' AS source", "id AS n_chars")
+    labels = spark.createDataFrame([(7, 1), *((i, i % 2) for i in range(50_000, 50_400))], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels, "doc_id", "text", ["lang", "source", "n_chars"], "quality", 500, 1, 1, 0.98, 0.998)
+    assert model is None or np.isfinite(model.weights).all()
+    assert quality_classifier.classify(docs, labels, labelled=500).count() == 60_000
+
+
 # ---- archives
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
