@@ -311,3 +311,16 @@ def test_pipeline_of_empty_tables(spark, tmp_path, no_docs, labels):
 
 def test_pack_keeps_further_columns_out(odd_docs):
     assert "kept" not in packing.pack(odd_docs, BYTE).columns
+
+
+def test_stages_leave_columns_named_like_results(spark, tmp_path):
+    rows = [(i, speech("en", i, 40) + f" {i}", "en", "s", 10) for i in range(30)] + [(3, speech("en", 3, 40) + " 3", "en", "s", 10), (None, speech("en", 77, 40), "en", "s", 10)]
+    own = {"kept": "mine", "language": "own", "probability": "p", "text_language": "t", "p_text": "a", "p_meta": "b", "__row0": "r", "__row": "q"}
+    docs = spark.createDataFrame(rows, DOCS).withColumns({k: F.lit(v) for k, v in own.items()})
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[k] == v for r in got for k, v in own.items()), name
+    assert len(got) == 31  # the repeated row went, one of each stays
