@@ -20,19 +20,22 @@ from quaycheck.llm.common import staged, table
 from quaycheck.llm.queries import tokenizer_json
 from quaycheck.session import ship_package
 
-#: Ids up to this many are sent to the scan; more are joined.
-FEW = 1_000_000
+
+def kept(docs: DataFrame, results: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a stage keeps, with their own columns: those named like its results are set aside while it works."""
+    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c in results}
+    out = stage(docs.withColumnsRenamed(aside)).where("kept")
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of low quality."""
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return kept(docs, quality_classifier.RESULTS, lambda own: quality_classifier.classify(own, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told."""
-    found = language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
-    return found.where("kept").select(*docs.columns)
+    return kept(docs, language_id.RESULTS, lambda own: language_id.identify(own, declared=F.col("lang"), host=F.col("source")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     key, own = "doc_id", docs
     if (ids[0] or 0) > 1 or ids[1]:
-        key = "__row"
+        key = next(f"__row{i}" for i in range(len(docs.columns) + 1) if f"__row{i}" not in docs.columns)
         own = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    gone = staged(minhash_dedup.near_duplicates(own, id_col=key).where("NOT kept").select(key), "gone")
-    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    gone = staged(minhash_dedup.near_duplicates(own.select(key, "text"), id_col=key).where("NOT kept").select(key), "gone")
     return own.join(gone, key, "left_anti").select(*docs.columns)
 
 
