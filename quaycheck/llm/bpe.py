@@ -186,8 +186,8 @@ class WordMemory:
         if len(self.place) > MEMORY or self.held > HELD:
             self.forget()
         joined, begin, end, kind, first = cut([self.normal(t) for t in texts], self.special, False)
-        words = distinct_bytes(joined, begin, end, kind)
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        words, back = distinct_bytes(joined, begin, end, kind)
+        new = [w for w in words if w not in self.place]
         if new:
             ids = self.merges.encode([w if w[:1] != MARK else b"x" for w in new])
             for j, w in enumerate(new):
@@ -199,7 +199,7 @@ class WordMemory:
             self.size += map(len, ids)
             self.ids += [" ".join(map(str, x)).encode() for x in ids]
             self.text += [" ".join([token[i] for i in x]).encode() for x in ids]
-        return list(map(self.place.__getitem__, words)), first
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[back].tolist(), first
 
 
 _made: dict[int, WordMemory] = {}

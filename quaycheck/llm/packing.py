@@ -29,7 +29,7 @@ from quaycheck.llm.pieces import MARK, cut, distinct_bytes
 from quaycheck.llm.words import slices
 
 #: Distinct pieces, and bytes of them, a worker remembers before it starts anew: what bounds its memory.
-MEMORY, HELD = 200_000, 32 << 20
+MEMORY, HELD = 500_000, 32 << 20
 
 
 def grown(a: np.ndarray, size: int) -> np.ndarray:
@@ -68,10 +68,10 @@ class Pieces:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
         joined, begin, end, kind, first = cut(texts, self.special, True)
-        pieces = distinct_bytes(joined, begin, end, kind)
+        pieces, back = distinct_bytes(joined, begin, end, kind)
         if len(self.place) > MEMORY or self.remembered > HELD:
             self.forget()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.place]
+        new = [p for p in pieces if p not in self.place]
         if new:
             words = [p.removeprefix(MARK).decode("utf-8", "replace") for p in new]
             found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
@@ -84,7 +84,7 @@ class Pieces:
             self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
             self.remembered += sum(map(len, new))
             self.n += len(new)
-        index = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        index = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[back]
         start, length = self.at[index], self.at[index + 1] - self.at[index]
         stops = np.r_[0, np.cumsum(length)]
         flat = self.ids[np.repeat(start - stops[:-1], length) + np.arange(stops[-1])]

@@ -14,6 +14,8 @@ from functools import cache
 
 import numpy as np
 
+from quaycheck.llm.words import equal, hashes
+
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 #: Stands before the bytes of a special token; no text holds this byte.
 MARK = b"\xff"
@@ -95,11 +97,19 @@ def byte_spans(joined: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return raw, offsets[begin], offsets[end]
 
 
-def distinct_bytes(joined: str, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> list[bytes]:
-    """The UTF-8 bytes of every piece, those of special tokens behind a mark: equal only for pieces with equal ids."""
+def distinct_bytes(joined: str, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces as UTF-8 bytes, those of special tokens behind a mark, and where each piece is among them.
+
+    Pieces are brought together by hash and then compared; should two differ under one hash, they are told apart by
+    their bytes instead.
+    """
     raw, lo, hi = byte_spans(joined, begin, end)
-    data = raw.tobytes()
-    out = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-    for i in np.flatnonzero(kind == SPECIAL).tolist():
-        out[i] = MARK + out[i]
-    return out
+    data, special = raw.tobytes(), kind == SPECIAL
+    _, where, back = np.unique(hashes(raw, lo, hi) ^ special, return_index=True, return_inverse=True)
+    bytes_of = lambda at: [data[a:b] if not s else MARK + data[a:b] for a, b, s in zip(lo[at].tolist(), hi[at].tolist(), special[at].tolist(), strict=True)]
+    first = where[back]
+    if (special == special[first]).all() and equal(raw, lo, hi, first):
+        return bytes_of(where), back
+    place: dict[bytes, int] = {}
+    back = np.array([place.setdefault(w, len(place)) for w in bytes_of(np.arange(len(lo)))], np.int64)
+    return list(place), back

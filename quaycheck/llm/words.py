@@ -71,14 +71,39 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each; zeros beyond the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def equal(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each byte range holds the same bytes as the range whose number stands in `other`."""
+    live = np.flatnonzero(other != np.arange(len(other)))
+    size = ends - starts
+    if (size[live] != size[other[live]]).any():
+        return False
+    long = live[size[live] > SHORT]
+    if any(not np.array_equal(raw[starts[i] : ends[i]], raw[starts[j] : ends[j]]) for i, j in zip(long.tolist(), other[long].tolist(), strict=True)):
+        return False
+    eight, step = eights(raw), 0
+    live = live[size[live] <= SHORT]
+    while len(live):
+        mask = _FIRST[np.minimum(size[live] - step, 8)]
+        if (((eight[starts[live] + step] ^ eight[starts[other[live]] + step]) & mask) != 0).any():
+            return False
+        step += 8
+        live = live[size[live] > step]
+    return True
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges. Short ranges take eight bytes at a time, mixed with all before them, so that up
     to eight bytes no two of one length share a hash; longer ones have their BLAKE2."""
     size = ends - starts
     out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
-    padded = np.zeros(len(raw) + 8, np.uint8)
-    padded[: len(raw)] = raw
-    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    eight = eights(raw)
     live = np.flatnonzero((size > 0) & (size <= SHORT))
     step = 0
     while len(live):

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, quality_rules, stats
+from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, pieces, quality_rules, stats
 from quaycheck.llm import words as words_of
 from tests.llm.conftest import ODD, sentence
 
@@ -322,3 +322,13 @@ def test_twins_are_other_words_lines_and_shingles(spark, twins):
     assert stats.counts(lines)["n_dup_lines"].tolist() == [0] * 5
     short = spark.createDataFrame([(i, "one two " + t.split()[2] + " four five") for i, t in TWINS], "doc_id long, text string")
     assert all(r.kept and r.component_id == r.doc_id for r in minhash_dedup.near_duplicates(short).collect())
+
+
+def test_pieces_under_one_hash_are_told_apart(monkeypatch):
+    text = "one two three two one <|endoftext|> " + "x" * 100 + " " + "x" * 99 + "y"
+    found, back = pieces.distinct_bytes(*pieces.cut([text], ("<|endoftext|>",), True)[:4])
+    whole = [found[i] for i in back]
+    monkeypatch.setattr(pieces, "hashes", lambda raw, lo, hi: np.zeros(len(lo), np.uint64))
+    found, back = pieces.distinct_bytes(*pieces.cut([text], ("<|endoftext|>",), True)[:4])
+    assert [found[i] for i in back] == whole and len(found) == len(set(whole))
+    assert b"".join(whole).replace(pieces.MARK, b"").decode() == text
