@@ -29,6 +29,8 @@ from quaycheck.llm.words import LOWER, mix, slices, text_bytes
 
 RESULTS = ("language", "probability", "text_language", "kept")
 BUCKETS = 1 << 15
+#: Text bytes whose trigrams a worker holds at once; they take many times their size.
+SLICE = 1 << 18
 #: Signs in letters: ASCII letters and all bytes of multi-byte signs.
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -69,7 +71,7 @@ def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
         for batch in batches:
             text, declared = batch.columns
             who = np.array([place.get(d, -1) for d in declared.to_pylist()])
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, SLICE):
                 g, at = trigrams(text.slice(lo, hi - lo))
                 own = np.repeat(who[lo:hi], np.diff(at))
                 for i in np.unique(own[own >= 0]).tolist():
@@ -112,7 +114,7 @@ def with_text_evidence(rows: DataFrame, model: np.ndarray, text: str, temper: fl
         n_lang, n = len(logs), batch.num_rows
         sums, known = np.zeros((n, n_lang)), np.zeros(n, np.int64)
         col = batch.column(batch.schema.names.index("__text"))
-        for lo, hi in slices(col):
+        for lo, hi in slices(col, SLICE):
             g, at = trigrams(col.slice(lo, hi - lo))
             total = np.zeros((len(g) + 1, n_lang))
             for i in range(n_lang):
