@@ -209,8 +209,11 @@ def viewed(docs: DataFrame, labels: DataFrame, id_col: str, text: str, meta: lis
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, meta: list[str], label: str, labelled: int, rounds: int, steps: int, sure: float, keep_good: float) -> Model | None:
     rows = staged(viewed(docs, labels, id_col, text, meta, label), "labelled-views")
-    order = F.xxhash64("key", "text", "meta")
-    some = rows.where("y >= 0").withColumn("h", order).orderBy("h", "key", "text", "meta").limit(labelled).collect()
+    known = rows.where("y >= 0").withColumn("h", F.shiftrightunsigned(F.xxhash64("key", "text", "meta"), 2))
+    n = known.count()
+    if n > labelled:  # few more than wanted reach the ordered limit, whatever the table's size
+        known = known.where(F.col("h") < int(1.1 * labelled / n * 2**62))
+    some = known.orderBy("h", "key", "text", "meta").limit(labelled).collect()
     if not some:
         return None
     views = {name: np.stack([np.frombuffer(r[name], "<f4").astype(np.float64) for r in some]) for name in ("text", "meta")}
