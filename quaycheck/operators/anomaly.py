@@ -69,10 +69,12 @@ def scoped(asked: DataFrame, reduced: DataFrame, scope: list[str]) -> DataFrame:
         left = mine.select(*[F.col(k).alias(f"_a_{k}") for k in scope])
         for k in have:
             left = left.withColumn(f"_k_{k}", F.explode(F.array(F.col(f"_a_{k}"), F.lit(None).cast("string"))))
-        if not have:
-            left = F.broadcast(left.withColumn("_k_all", F.lit(1)).limit(1))  # at most the one scope of nulls
-        on = [F.col(f"_k_{k}").eqNullSafe(reduced[k]) for k in have] or [F.col("_k_all") == F.lit(1)]
-        parts.append(left.join(reduced, on).drop(*scope, "_k_all", *[f"_k_{k}" for k in have]))
+        on = [F.col(f"_k_{k}").eqNullSafe(reduced[k]) for k in have]
+        if not have:  # at most the one scope of nulls, which every row meets under an empty key
+            left = F.broadcast(left.limit(1))
+            empty = lambda key: F.substring(F.coalesce(key, F.lit("")), 1, 0)
+            on = [empty(F.col(f"_a_{scope[0]}")) == empty(reduced[scope[0]])]
+        parts.append(left.join(reduced, on).drop(*scope, *[f"_k_{k}" for k in have]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

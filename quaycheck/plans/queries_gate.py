@@ -25,14 +25,14 @@ def landed(spark, sf):
     """A document's text as the payload of a file of its language and of one of five days."""
     day = "date_format(date_sub(DATE '2025-02-10', CAST(pmod(doc_id, 5) AS INT)), 'yyyyMMdd')"
     return table(spark, sf, "documents").where("doc_id IS NOT NULL").selectExpr(
-        "CAST(doc_id AS STRING) AS file_id", "CAST(doc_id AS STRING) AS batch_id", f"{_LANG} AS property_id", "'texts' AS contract_id",
+        "CAST(doc_id AS STRING) AS file_id", "CAST(doc_id AS STRING) AS batch_id", f"{_LANG} AS property_id", "substr(concat('texts', doc_id), 1, 5) AS contract_id",
         f"{_NAME.format(day=day)} AS filename", "CAST(NULL AS STRING) AS path", f"encode({_TEXT}, 'UTF-8') AS content")
 
 
 def released(spark, sf):
     """Documents labelled good, as runs released a week before; they have no row counts, so no baseline."""
     good = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    return good.selectExpr("concat('run_', doc_id) AS run_id", f"{_LANG} AS property_id", "'text' AS report_type", "DATE '2025-02-01' AS business_date", "'RELEASED_TO_ETL' AS overall_outcome",
+    return good.selectExpr("concat('run_', doc_id) AS run_id", f"{_LANG} AS property_id", "substr(concat('text', doc_id), 1, 4) AS report_type", "date_add(DATE '2025-02-01', length(substr(concat('t', doc_id), 1, 1)) - 1) AS business_date", "'RELEASED_TO_ETL' AS overall_outcome",
                            f"sha2({_TEXT}, 256) AS checksum_sha256", "CAST(NULL AS BIGINT) AS row_count", "CAST(NULL AS DOUBLE) AS net_amount")
 
 
