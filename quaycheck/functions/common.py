@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,14 @@ def call(name: str, *args) -> Column:
     return F.call_function(name, *[a if isinstance(a, Column) else F.lit(a) for a in args])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once per row, however often the body refers to it.
+
+    Spark evaluates what stands inside a higher-order function or behind a condition anew at each mention.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strings(values: Iterable[str]) -> Column:
     """Literal array<string>, typed even when empty."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quaycheck.functions import fixed_values as fx
 from quaycheck.functions import patterns as pt
-from quaycheck.functions.common import blank_to_null, call, dim, lookup, strings
+from quaycheck.functions.common import blank_to_null, call, dim, let, lookup, strings
 from quaycheck.operators.identity import noise_folders, noise_regex
 
 
@@ -335,13 +335,30 @@ TRANSPORT_NEEDS = {"filename": "pattern", "uri_path": "uri_path_pattern", "manif
 
 
 def lint(doc: Column) -> Column:
-    """array<string> of everything wrong with a profile document; empty means it may be used."""
-    d = parsed(doc)
-    at = lambda p: call("try_variant_get", d, f"$.{p}", "string")
-    errors = [F.when(d.isNull(), F.lit("<root>: not a document"))]
+    """array<string> of everything wrong with a profile document; empty means it may be used.
+
+    A document is parsed once, each of its values read once; the rules refer to these.
+    """
+    return let(parsed(doc), lambda d: let(_profile_values(doc, d), _profile_errors))
+
+
+def _profile_values(doc: Column, d: Column) -> Column:
+    """struct of what the rules look at: keys of the objects, texts, and patterns of the lists."""
+    texts = [*PROFILE_ENUMS, *PROFILE_FORMATS, *[f"filename.{n}" for n in TRANSPORT_NEEDS.values()], *PROFILE_PATTERNS, *PROFILE_DATE_FORMATS, "physical.min_bytes"]
+    rules = lambda p, kind: F.coalesce(call("try_variant_get", d, f"$.{p}", kind), F.array().cast(kind))
+    return F.struct(
+        d.isNull().alias("broken"),
+        F.struct(*[call("json_object_keys", call("get_json_object", doc, f"$.{where}" if where else "$")).alias(where or "$") for where in PROFILE_ALLOWED]).alias("keys"),
+        F.struct(*[call("try_variant_get", d, f"$.{p}", "string").alias(p) for p in dict.fromkeys(texts)]).alias("texts"),
+        F.struct(*[F.transform(rules(p, f"array<struct<{field}:string>>"), lambda r: r[field]).alias(p) for p, field in PROFILE_LISTS.items()]).alias("lists"),
+    )
+
+
+def _profile_errors(v: Column) -> Column:
+    at = lambda p: v["texts"][p]
+    errors = [F.when(v["broken"], F.lit("<root>: not a document"))]
     for where, allowed in PROFILE_ALLOWED.items():
-        node = call("get_json_object", doc, f"$.{where}" if where else "$")
-        present = call("json_object_keys", node)
+        present = v["keys"][where or "$"]
         prefix = f"{where}." if where else ""
         for k in PROFILE_REQUIRED[where]:
             errors.append(F.when(present.isNotNull() & ~F.array_contains(present, k), F.lit(f"{prefix}{k}: required")))
@@ -355,9 +372,8 @@ def lint(doc: Column) -> Column:
         errors.append(F.when((at("filename.transport") == transport) & at(f"filename.{need}").isNull(), F.lit(f"filename.{need}: required by transport")))
     for p in PROFILE_PATTERNS:
         errors.append(F.when(at(p).isNotNull() & ~pt.is_valid(pt.numbered(at(p))), F.lit(f"{p}: invalid pattern")))
-    rules = lambda p, field: F.transform(F.coalesce(call("try_variant_get", d, f"$.{p}", f"array<struct<{field}:string>>"), F.array().cast(f"array<struct<{field}:string>>")), lambda r: r[field])
-    for p, field in PROFILE_LISTS.items():
-        broken = F.filter(rules(p, field), lambda x: x.isNotNull() & ~pt.is_valid(pt.numbered(x)))
+    for p in PROFILE_LISTS:
+        broken = F.filter(v["lists"][p], lambda x: x.isNotNull() & ~pt.is_valid(pt.numbered(x)))
         errors.append(F.when(F.size(broken) > 0, F.concat(F.lit(f"{p}: invalid pattern "), F.array_join(broken, ", "))))
     for p in PROFILE_DATE_FORMATS:
         errors.append(F.when(at(p).isNotNull() & pt.date_format(at(p)).isNull(), F.lit(f"{p}: unknown date directive")))

@@ -386,13 +386,17 @@ _PROFILE = """{"profile_id":"p_ID","profile_version":"1","filename":{"transport"
 @query("profile_lint", """SELECT c_custkey, concat_ws('; ', CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '<root>: unknown owner' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'physical.line_ending: not allowed unix' END,
  CASE WHEN c_acctbal < 0 THEN concat('profile_id: malformed p_-', c_custkey) END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'filename.uri_path_pattern: required by transport' END, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'filename.pattern: invalid pattern' END) AS errors FROM customer""")
 def profile_lint(spark, sf):
-    """A profile document per customer, with the fault its segment stands for."""
+    """A profile document per customer, with the fault its segment stands for.
+
+    The documents are dealt over all cores: customers are few bytes, so that few tasks read them, and a document is long work.
+    """
     seg = lambda s, bad, good: F.when(c("c_mktsegment") == s, bad).otherwise(good)
     doc = lit(_PROFILE)
     for mark, value in (("ID", F.concat(F.when(c("c_acctbal") < 0, "-").otherwise(""), c("c_custkey").cast("string"))), ("TRANSPORT", seg("MACHINERY", "uri_path", "filename")), ("REGEX", seg("FURNITURE", "", ")")),
                         ("ENDING", seg("BUILDING", "unix", "lf")), ("EXTRA", seg("HOUSEHOLD", ',"owner":1', ""))):
         doc = F.replace(doc, lit(mark), value)
-    return table(spark, sf, "customer").select("c_custkey", doc.alias("doc")).select("c_custkey", F.array_join(contracts.lint(c("doc")), "; ").alias("errors"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").repartition(4 * spark.sparkContext.defaultParallelism)
+    return customers.select("c_custkey", doc.alias("doc")).select("c_custkey", F.array_join(contracts.lint(c("doc")), "; ").alias("errors"))
 
 
 @query("customer_tree", """SELECT coalesce(CAST(n_nationkey AS VARCHAR), '__unassigned__') AS customer, s_suppkey AS property, coalesce(n, 0) AS feeds FROM (SELECT * FROM nation WHERE n_regionkey <> 2) n

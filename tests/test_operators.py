@@ -258,3 +258,14 @@ def test_missing_delivery_rows(spark):
     out = sla.missing_deliveries(due, runs, "property_id", "day", "report_type", F.when(c("property_id") == "A", strings(["x", "y"])).otherwise(strings([])))
     assert {r.property_id: (r.event_type, r.missing) for r in out.collect()} == {"A": ("MISSING_DELIVERY", ["y"]), "B": ("IN_WINDOW", [sla.ANY_DELIVERY]), "C": ("MISSING_DELIVERY", [sla.ANY_DELIVERY])}
     assert {r.run_id for r in sla.missing_delivery_runs(out, "property_id").collect()} == {"missing_A_2026-08-09", "missing_C_2026-08-09"}
+
+
+def test_lint_parses_a_document_once(spark):
+    bad = '{"profile_id":"A","physical":{"min_bytes":0},"structure":{"expected_sections":[{"marker_pattern":"("},{"marker_pattern":"["}]}}'
+    found = spark.createDataFrame([("{",), (bad,)], "doc string").select(contracts.lint(c("doc")).alias("errors"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") == 1
+    broken, errors = (r.errors for r in found.collect())
+    assert broken == ["<root>: not a document"]
+    assert {"profile_id: malformed A", "physical.min_bytes: below 1", "structure.expected_sections: invalid pattern (, ["} <= set(errors)
+    rows = spark.range(100).select(lit(bad).alias("doc"))
+    assert rows.select(F.size(contracts.lint(c("doc"))).alias("n")).distinct().count() == 1
