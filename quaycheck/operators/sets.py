@@ -75,21 +75,26 @@ def sibling_verdict(required: Column, own: Column, present: Column) -> tuple[Col
     return verdict, missing
 
 
-def commit_markers(objects: DataFrame, inventory: DataFrame, key: str, marker: Column) -> DataFrame:
+def commit_markers(objects: DataFrame, inventory: DataFrame, key: str, marker: Column, salts: int = 32) -> DataFrame:
     """Adds has_marker: the inventory holds the marker file in the object's own folder.
 
-    The join key is (folder, marker name) against the distinct markers, one row per folder.
+    The join key is (folder, marker name) against the distinct markers asked for, one row per folder. Objects of one
+    folder are dealt over `salts` keys, those that ask for no marker over as many as there are.
     """
-    wanted = objects.withColumn("_folder", parent_folder(F.col(key))).withColumn("_marker", marker)
+    own = F.xxhash64(key, *[c for c in ("file_id",) if c in objects.columns])
+    salt = F.when(F.col("_marker").isNull(), own).otherwise(F.pmod(own, F.lit(salts)))
+    wanted = objects.withColumn("_folder", parent_folder(F.col(key))).withColumn("_marker", marker).withColumn("_salt", salt)
+    asked = wanted.where("_marker IS NOT NULL").select("_marker").distinct()
     base = F.element_at(F.split(F.col("object_key"), "/"), -1)
     there = (
         inventory.select(parent_folder(F.col("object_key")).alias("_folder"), base.alias("_marker"))
-        .distinct().withColumn("has_marker", F.lit(True))
+        .join(asked, "_marker", "left_semi").distinct().withColumn("has_marker", F.lit(True))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
     return (
-        wanted.join(there, ["_folder", "_marker"], "left")
+        wanted.join(there, ["_folder", "_marker", "_salt"], "left")
         .withColumn("has_marker", F.coalesce("has_marker", F.lit(False)))
-        .drop("_folder", "_marker")
+        .drop("_folder", "_marker", "_salt")
     )
 
 

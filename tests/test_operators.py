@@ -269,3 +269,21 @@ def test_lint_parses_a_document_once(spark):
     assert {"profile_id: malformed A", "physical.min_bytes: below 1", "structure.expected_sections: invalid pattern (, ["} <= set(errors)
     rows = spark.range(100).select(lit(bad).alias("doc"))
     assert rows.select(F.size(contracts.lint(c("doc"))).alias("n")).distinct().count() == 1
+
+
+@pytest.mark.parametrize("marker", [None, "_SUCCESS"])
+def test_objects_of_one_folder_are_dealt_over_tasks(spark, marker):
+    objects = spark.range(4000).select(F.concat(lit("day/part"), c("id").cast("string")).alias("key"))
+    inventory = spark.createDataFrame([("day/_SUCCESS",), ("other/_SUCCESS",)], "object_key string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = sets.commit_markers(objects, inventory, "key", lit(marker).cast("string"))
+        parts = found.select("has_marker", F.spark_partition_id().alias("p")).groupBy("p", "has_marker").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.has_marker for r in parts} == {marker is not None} and sum(r["count"] for r in parts) == 4000
+    assert max(r["count"] for r in parts) < 2000
