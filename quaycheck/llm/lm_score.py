@@ -9,7 +9,8 @@ missing; the mean of the counts with that q is the answer. Every event sets a fe
 Scoring. The filter goes to the workers as one broadcast while it is no larger than `broadcast_bytes`. Beyond, the
 n-grams of the texts are sent to the segments instead and the answers sent back: same filter, same probes, same
 scores, with no limit on its size. Probabilities are p(w|h) = (c(h,w) + K p(w)) / (c(h) + K) with
-p(w) = (c(w) + 1) / (N + V + 1), K chosen by leave-one-out likelihood on a bounded sample of training rows.
+p(w) = (c(w) + 1) / (N + V + 1), K the one of a grid with the best leave-one-out likelihood over all training rows: the
+pass that scores a text does so for every K of the grid, and the sums over the training rows then choose.
 A pair's count is taken as no larger than its parts', which corrects most false hits.
 
 Exact unigram counts, for the base score: tokens that make at least 1/`frequent` of all tokens (at most `frequent`
@@ -184,8 +185,12 @@ def token_counts(segments: DataFrame, least: int = 0) -> DataFrame:
     return segments.select("keys", "counts").mapInArrow(rows, "key long, c long")
 
 
+#: Smoothing weights to choose from.
+GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, float(1 << 20))
+
+
 class Model:
-    """What scoring needs: totals, smoothing, and quantised counts of keys from `count`."""
+    """What scoring needs: totals, smoothing, and quantised counts."""
 
     def __init__(self, n: int, v: int, k: float):
         self.n, self.v, self.k = n, v, k
@@ -210,27 +215,30 @@ def needed(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tokens, keys, at, first, prev, pair
 
 
-def choose_k(sample: list[str], count, n: int, v: int, grid: tuple[float, ...] = (1, 4, 16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)) -> float:
-    """The smoothing weight with the best leave-one-out likelihood on trained rows."""
-    if not sample:
-        return grid[len(grid) // 2]
-    sums = np.zeros(len(grid))
-    col = pa.array(sample, pa.string())
-    for lo, hi in slices(col):
-        _, keys, _, first, prev, pair = needed(col.slice(lo, hi - lo))
-        c = count(keys)
-        sums += [Model(n, v, k).logs(c[prev], c[first], c[pair], 1.0).sum() for k in grid]
-    return float(grid[int(np.argmax(sums))])
+def sums_by_weight(levels: np.ndarray, mean: np.ndarray, prev: np.ndarray, first: np.ndarray, pair: np.ndarray, at: np.ndarray, n: int, v: int, spare: float = 0.0) -> np.ndarray:
+    """Summed log10 p of every row (columns) under every weight of the grid (rows). Logarithms are taken once for each
+    distinct triple of levels."""
+    top = int(levels.max()) + 1
+    a, b, c = levels[prev], levels[first], levels[pair]
+    triples, place = np.unique((a * top + b) * top + np.minimum(c, np.minimum(a, b)), return_inverse=True)
+    a, b, c = mean[triples // (top * top)], mean[triples // top % top], mean[triples % top]
+    return np.stack([np.add.reduceat(Model(n, v, k).logs(a, b, c, spare)[place], at[:-1]) for k in GRID])
+
+
+def chosen(rows: DataFrame) -> int:
+    """Place in the grid of the weight with the best leave-one-out likelihood on all trained rows, summed exactly; the middle one without any."""
+    sums = rows.where(~F.col("held_out")).agg(*[F.sum(F.col("fits")[i].cast("decimal(38,6)")) for i in range(len(GRID))]).first()
+    return len(GRID) // 2 if sums[0] is None else max(range(len(GRID)), key=lambda i: (sums[i], -i))
 
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: Column | None = None, base: float = 1.5, bits_per_event: int = 12, bits: int = 5,
-    frequent: int = 1 << 17, broadcast_bytes: int = 256 << 20, fit_rows: int = 512, fit_bytes: int = 4 << 20,
+    frequent: int = 1 << 17, broadcast_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Scores every row after learning from those that `held_out` does not mark.
 
-    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, smoothing. `fit_rows` rows of `fit_bytes`
-    in sum at most choose the smoothing weight; all counts cover all training rows.
+    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, smoothing. Counts and smoothing weight come
+    from all training rows.
     """
     spark = docs.sparkSession
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
@@ -246,33 +254,23 @@ def score(
     order = np.argsort(top_keys)
     known = spark.sparkContext.broadcast((top_keys[order], np.array([r[1] for r in top], np.int64)[order]))
 
-    sample = _sample(train, fit_rows, fit_bytes)
     if size <= broadcast_bytes:
-        lookup = _load(segments, buckets, base, bits)
-        k = choose_k(sample, lookup.count, n, v)
-        shared = spark.sparkContext.broadcast(lookup)
-        rows = docs.mapInArrow(_scorer(known, Model(n, v, k), shared=shared), _ROWS)
+        shared = spark.sparkContext.broadcast(_load(segments, buckets, base, bits))
+        rows = docs.mapInArrow(_scorer(known, n, v, base, shared=shared), _ROWS)
     else:
-        k = _routed_k(sample, segments, buckets, base, bits, n, v, spark)
-        rows = _routed(docs, segments, buckets, base, bits).mapInArrow(_scorer(known, Model(n, v, k)), _ROWS)
+        rows = _routed(docs, segments, buckets, base, bits).mapInArrow(_scorer(known, n, v, base), _ROWS)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    best = chosen(rows)
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.n").alias("n"))
     found = rare.join(token_counts(segments), "key").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
     none = F.lit(0)
     return rows.join(found, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", none) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score", F.lit(k).alias("smoothing"),
+        (F.col("base") + F.coalesce("more", none) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), F.col("scores")[best].alias("score"), F.lit(GRID[best]).alias("smoothing"),
     )
 
 
-_ROWS = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:int>>"
-
-
-def _sample(train: DataFrame, rows: int, most: int) -> list[str]:
-    """At most `rows` rows by hash order, of at most `most` characters in sum; used only to choose one number."""
-    each = most // max(1, rows)
-    some = train.where(F.col("text").isNotNull()).select(F.substring("text", 1, each).alias("t"), F.xxhash64("id", "text").alias("h"))
-    return [r[0] for r in some.orderBy("h", "t").limit(rows).collect()]
+_ROWS = "id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, fits array<double>, rare array<struct<key:long,n:int>>"
 
 
 def _load(segments: DataFrame, buckets: int, base: float, bits: int) -> LogFrequencyFilter:
@@ -285,8 +283,17 @@ def _load(segments: DataFrame, buckets: int, base: float, bits: int) -> LogFrequ
     return LogFrequencyFilter(bucket_edges(buckets), starts, words, Levels(base), bits)
 
 
-def _scorer(known, model: Model, shared=None):
-    """Rows to scores. Counts come from the broadcast filter, or beside the text from columns of answers."""
+def _lists(sums: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """The columns as lists, null where marked."""
+    some = sums if missing is None else sums[:, ~missing]
+    sizes = np.full(sums.shape[1], len(sums)) if missing is None else np.where(missing, 0, len(sums))
+    mask = None if missing is None else pa.array(missing)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(some.T.ravel()), mask=mask)
+
+
+def _scorer(known, n: int, v: int, base_: float, shared=None):
+    """Rows to scores. Levels come from the broadcast filter, or beside the text from columns of answers."""
+    mean = Levels(base_).mean
 
     def run(batches):
         top_keys, top_counts = known.value
@@ -295,13 +302,16 @@ def _scorer(known, model: Model, shared=None):
             for lo, hi in slices(col):
                 tokens, keys, at, first, prev, pair = needed(col.slice(lo, hi - lo))
                 if shared is not None:
-                    c = shared.value.count(keys)
+                    levels = shared.value.level(keys)
                 else:
-                    answers = [(np.frombuffer(a["keys"], np.uint64), np.frombuffer(a["counts"], np.float64)) for row in batch.column("answers").slice(lo, hi - lo).to_pylist() for a in row or ()]
+                    answers = [(np.frombuffer(a["keys"], np.uint64), unsmall(a["levels"])) for row in batch.column("answers").slice(lo, hi - lo).to_pylist() for a in row or ()]
                     k = np.concatenate([a[0] for a in answers])
                     k, i = np.unique(k, return_index=True)
-                    c = np.concatenate([a[1] for a in answers])[i[find(k, keys)[0]]]
-                logs = model.logs(c[prev], c[first], c[pair])
+                    levels = np.concatenate([a[1] for a in answers])[i[find(k, keys)[0]]]
+                held = batch.column("held_out").slice(lo, hi - lo)
+                out = held.to_numpy(zero_copy_only=False).astype(bool)
+                scores = sums_by_weight(levels, mean, prev, first, pair, at, n, v)
+                fits = sums_by_weight(levels, mean, prev, first, pair, at, n, v, 1.0)
                 place, there = find(top_keys, tokens)
                 base = np.zeros(len(tokens))
                 base[there] = np.log10(top_counts[place[there]] + 1.0)
@@ -315,8 +325,8 @@ def _scorer(known, model: Model, shared=None):
                 offsets = np.searchsorted(pairs[new, 0], np.arange(hi - lo + 1)).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(pairs[new, 1].view(np.int64)), pa.array(times)], ["key", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), batch.column("held_out").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(np.add.reduceat(there.astype(np.int64), at[:-1])), pa.array(np.add.reduceat(base, at[:-1])), pa.array(np.add.reduceat(logs, at[:-1])), rare],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), held, pa.array(np.diff(at)), pa.array(np.add.reduceat(there.astype(np.int64), at[:-1])), pa.array(np.add.reduceat(base, at[:-1])), _lists(scores), _lists(fits, out), rare],
+                    ["id", "held_out", "n_tokens", "n_known", "base", "scores", "fits", "rare"],
                 )
 
     return run
@@ -347,8 +357,8 @@ def _routed(docs: DataFrame, segments: DataFrame, buckets: int, base: float, bit
         starts = np.zeros(buckets + 1, np.int64)
         starts[b + 1 :] = len(words[0]) if words else 0
         f = LogFrequencyFilter(edges, starts, words[0] if words else np.zeros(0, np.uint64), Levels(base), bits)
-        counts = [f.count(np.frombuffer(k, np.uint64)).tobytes() for k in asks["keys"].to_pylist()]
-        return pa.table({"row": asks["row"], "keys": asks["keys"], "counts": pa.array(counts, pa.binary())})
+        levels = [small(f.level(np.frombuffer(k, np.uint64))) for k in asks["keys"].to_pylist()]
+        return pa.table({"row": asks["row"], "keys": asks["keys"], "levels": pa.array(levels, pa.binary())})
 
     # frequent n-grams are asked for by every text: a bucket's asks are dealt over parts of about 512, each with a copy of the segment
     asked = staged(texts.select("row", "text").mapInArrow(ask, "row long, bucket int, keys binary"), "lm-asks")
@@ -356,18 +366,6 @@ def _routed(docs: DataFrame, segments: DataFrame, buckets: int, base: float, bit
     asked = asked.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("parts")
     held = segments.join(parts, "bucket").select(F.lit(None).cast("long").alias("row"), "bucket", F.lit(None).cast("binary").alias("keys"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "words")
     both = asked.withColumn("words", F.lit(None).cast("binary")).unionByName(held)
-    answers = both.groupBy("bucket", "part").applyInArrow(answer, "row long, keys binary, counts binary")
-    back = answers.groupBy("row").agg(F.collect_list(F.struct("keys", "counts")).alias("answers"))
+    answers = both.groupBy("bucket", "part").applyInArrow(answer, "row long, keys binary, levels binary")
+    back = answers.groupBy("row").agg(F.collect_list(F.struct("keys", "levels")).alias("answers"))
     return texts.join(back, "row").select("id", "text", "held_out", "answers")
-
-
-def _routed_k(sample, segments, buckets, base, bits, n, v, spark) -> float:
-    """Smoothing weight when the filter is in segments: the sample's keys are answered first."""
-    if not sample:
-        return choose_k(sample, None, n, v)
-    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(sample)], "id long, text string, held_out boolean")
-    known: dict[int, float] = {}
-    for r in _routed(rows, segments, buckets, base, bits).select("answers").collect():
-        for a in r[0]:
-            known.update(zip(np.frombuffer(a["keys"], np.uint64).tolist(), np.frombuffer(a["counts"], np.float64).tolist(), strict=True))
-    return choose_k(sample, lambda keys: np.array([known[k] for k in keys.tolist()]), n, v)

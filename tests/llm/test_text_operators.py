@@ -51,6 +51,26 @@ def test_routed_probes_give_the_broadcast_scores(spark):
     assert sum(r.score for r in a if r.held_out) > sum(r.base_score for r in a if r.held_out)
 
 
+def test_smoothing_is_chosen_on_all_of_all_training_rows(spark):
+    rng = random.Random(4)
+    texts = ["the same few words " * 432 + " ".join(f"w{rng.randrange(50)}" for _ in range(2500)) for _ in range(3)]
+    levels = lm_score.Levels(1.5)
+
+    def best(own):
+        seen = [[None, *words(t), ""] for t in own]
+        all_ = [[None, *words(t), ""] for t in texts]
+        one, two = Counter(w for t in all_ for w in t), Counter(p for t in all_ for p in zip(t, t[1:], strict=False))
+        n, v = sum(map(len, all_)) - len(texts), len(one) - 1
+        at = lambda c: levels.mean[levels.of(np.array(c))]
+        pairs = [p for t in seen for p in zip(t, t[1:], strict=False)]
+        args = at([one[a] for a, _ in pairs]), at([one[b] for _, b in pairs]), at([two[p] for p in pairs]), 1.0
+        return max(lm_score.GRID, key=lambda k: lm_score.Model(n, v, k).logs(*args).sum())
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert best(texts) != best([t[:8192] for t in texts])
+    assert {r.smoothing for r in lm_score.score(docs).collect()} == {best(texts)}
+
+
 def test_filter_answers_levels_of_all_counts():
     levels = lm_score.Levels(1.5)
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
