@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaycheck.llm.common import per_batch, staged
-from quaycheck.llm.components import components
+from quaycheck.llm.components import components, grown
 from quaycheck.llm.words import mix, runs, slices, word_hashes
 
 _TEXT = np.uint64(0x2545F4914F6CDD1D)
@@ -282,15 +282,17 @@ def near_duplicates(
 
     # every bucket's leader with its members; then, where components still meet, a leader of the largest one with those outside it
     tried = staged(members.where("node <> leader").select(*_ordered("node", "leader")).distinct(), "tried")
-    links = linked(tried)
-    open_ = outside_main(members.drop("leader"), staged(components(links), "labels"), 1)
+    labels = staged(components(linked(tried)), "labels")
+    open_ = outside_main(members.drop("leader"), labels, 1)
     more = staged(open_.where("label <> main").select(*_ordered("node", "leader")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    links = staged(links.unionByName(linked(more)), "links")
+    if more.limit(1).count():
+        labels = staged(grown(labels, linked(more)), "labels")
     # what is left is compared in full, block by block
-    open_ = outside_main(open_.select("key", "band", "node"), staged(components(links), "labels"), 2).drop("leader")
-    payload = sets.join(sigs, "node").join(open_.select("node").distinct(), "node", "left_semi").select("node", "keys", "signature", "bands", (F.length("keys") / 8).cast("long").alias("n"))
-    last = compared_in_blocks(open_, staged(payload, "payload"), threshold, miss, batch)
-    labels = staged(components(links.unionByName(last)), "labels")
+    if open_.limit(1).count():
+        open_ = outside_main(open_.select("key", "band", "node"), labels, 2).drop("leader")
+        payload = sets.join(sigs, "node").join(open_.select("node").distinct(), "node", "left_semi").select("node", "keys", "signature", "bands", (F.length("keys") / 8).cast("long").alias("n"))
+        last = staged(compared_in_blocks(open_, staged(payload, "payload"), threshold, miss, batch), "last")
+        labels = staged(grown(labels, last), "labels")
 
     named = classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
+from quaycheck.llm import components as stars
 from quaycheck.llm import cover_tree, html_extract, language_id, packing, quality_classifier, warc
-from quaycheck.llm.components import components
+from quaycheck.llm.components import components, grown
 from tests.llm.conftest import DOCS, sentence
 from tests.llm.test_text_operators import BYTE, brute_components, unpacked
 
@@ -141,6 +143,42 @@ def test_tree_levels_cover_and_nest():
         assert set(c) <= set(tree.centres[level + 1])
 
 
+@pytest.mark.parametrize("dim", [2, 64, 768])
+def test_pairs_within_reach_equal_double_precision(dim):
+    rng = np.random.default_rng(dim)
+    a = cover_tree.unit(rng.normal(size=(300, dim)))
+    b = cover_tree.unit(np.r_[a[:200] + rng.normal(size=(200, dim)) * 0.3 / np.sqrt(dim), rng.normal(size=(100, dim))])
+    ra, rb = rng.choice([0.4, 0.5], 300), rng.choice([0.0, 0.1], 300)
+    i, j, dot = cover_tree.within(a, b, ra, rb)
+    want = np.argwhere(cover_tree.distances(a, b) <= ra[:, None] + rb[None, :])
+    assert set(map(tuple, want.tolist())) <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert np.allclose(dot, (a @ b.T)[i, j], rtol=0, atol=1e-12)
+    assert (np.sqrt(np.maximum(2 - 2 * dot, 0)) <= (ra[i] + rb[j]) + 1e-3 + 1e-4 * dim).all()
+    odd = np.arange(300) % 2 == 1
+    assert (cover_tree.within(a, b, ra, rb, lambda rows: np.broadcast_to(odd[rows, None], (len(odd[rows]), 300)))[0] % 2 == 1).all()
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    names = []
+    keep = stars.staged
+    monkeypatch.setattr(stars, "staged", lambda df, name: names.append(name) or keep(df, name))
+    links = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(50, 51)], "a long, b long")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {**{i: 1 for i in range(1, 30)}, 50: 50, 51: 50} and names == ["links"]
+
+
+def test_components_grow_by_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60, 120)) for _ in range(40)]
+    more = [(rng.randrange(140), rng.randrange(140)) for _ in range(25)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {r.node: r.component for r in components(table(links + more)).collect()}
+    got = [(r.node, r.component) for r in grown(components(table(links)), table(more)).collect()]
+    assert len(got) == len(dict(got))
+    assert {k: v for k, v in got if k in want} == want and all(k == v for k, v in got if k not in want)
+    assert sorted(grown(components(table(links)), table([])).collect()) == sorted(components(table(links)).collect())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
