@@ -39,6 +39,8 @@ def with_settings(spark: SparkSession) -> SparkSession:
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Gives this package's source to the executors, once per context, so that tasks can import it anywhere."""
+    # texts are long: batches of a few MB, held by the JVM and by Python on the way in and out
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     context = spark.sparkContext
     if not getattr(context, "_quaycheck_shipped", False):
         home = Path(__file__).resolve().parent
