@@ -54,14 +54,6 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first, dtype=counts.dtype)
 
 
-def find(sorted_keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each asked key is in the sorted keys, and whether it is there at all."""
-    if not len(sorted_keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == asked
-
-
 def small(a: np.ndarray) -> bytes:
     """Unsigned integers in the fewest bytes that hold them; the first byte is the width."""
     top = int(a.max()) if len(a) else 0
@@ -73,6 +65,15 @@ def unsmall(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """64-bit numbers as their first bytes, their second bytes and so on: what is alike compresses."""
+    return np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """About `rows` rows, at most a quarter more, chosen by a hash of the key whatever the table's order; all rows of a smaller table."""
     n = df.count()

@@ -1,21 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Tasks hash tokens and token pairs of the training rows, sum them, and send each range of hashes to one
-bucket; the number of buckets follows the table's size, so a bucket stays small and a frequent pair arrives
-there once per task. A bucket turns its counts into a segment of the filter: an n-gram of count c is entered as the
-events (n-gram, 1) to (n-gram, q) with q = 1 + floor(log_base(c)). A probe asks for j = 1, 2, ... until an event is
-missing; the mean of the counts with that q is the answer. Every event sets a few bits of one 64-bit word.
-
-Scoring. The filter goes to the workers as one broadcast while it is no larger than `broadcast_bytes`. Beyond, the
-n-grams of the texts are sent to the segments instead and the answers sent back: same filter, same probes, same
-scores, with no limit on its size. Probabilities are p(w|h) = (c(h,w) + K p(w)) / (c(h) + K) with
+Counting. Texts are numbered in a written table and read in stretches of some MB. A stretch's distinct tokens and token
+pairs go out as sorted hashes with their counts, cut by ranges of hashes into one message a bucket; the number of buckets
+follows the table's size, so a bucket stays small and a frequent pair arrives there once per stretch. N-grams of
+held-out rows go along with a count of nothing. A bucket turns its counts into a segment of the filter: an n-gram of count
+c is entered as the events (n-gram, 1) to (n-gram, q) with q = 1 + floor(log_base(c)). A probe asks for j = 1, 2, ...
+until an event is missing; the mean of the counts with that q is the answer. Every event sets a few bits of one 64-bit word.
+
+Scoring. What a stretch counted is what its texts ask for: the bucket probes its segment for the n-grams it was sent and
+answers every message with a byte for each n-gram, and for tokens the exact count, in the order they came. The
+answers meet the texts again by stretch. No task holds more of the filter than one segment, and nothing that grows with the
+n-grams is broadcast or sent to the driver. Probabilities are p(w|h) = (c(h,w) + K p(w)) / (c(h) + K) with
 p(w) = (c(w) + 1) / (N + V + 1), K the one of a grid with the best leave-one-out likelihood over all training rows: the
 pass that scores a text does so for every K of the grid, and the sums over the training rows then choose.
-A pair's count is taken as no larger than its parts', which corrects most false hits.
-
-Exact unigram counts, for the base score: tokens that make at least 1/`frequent` of all tokens (at most `frequent`
-of them, hence a bounded broadcast) are looked up while scoring; the others are rare by definition, so that no key is
-hot, and are joined.
+A pair's count is taken as no larger than its parts', which corrects most false hits. The base score takes the exact counts.
 
 Null text counts as empty; an empty text is one end token. A null id trains. Repeated rows are scored each. Other
 columns are left out. An empty table gives no rows. Tokens are told apart by 64-bit hashes.
@@ -28,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaycheck.llm.common import bucket_edges, find, scan_tasks, small, staged, summed, unsmall
-from quaycheck.llm.words import mix, slices, word_hashes
+from quaycheck.llm.common import bucket_edges, planes, scan_tasks, small, staged, summed, unplanes, unsmall
+from quaycheck.llm.words import SLICE, mix, slices, text_bytes, word_hashes
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR, _EVENT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -110,79 +108,90 @@ def segment(keys: np.ndarray, counts: np.ndarray, levels: Levels, bits_per_event
     return words
 
 
-def ngram_counts(train: DataFrame, text: str, buckets: int, hold: int = 2_000_000) -> DataFrame:
-    """(bucket, pairs boolean, keys, counts): counts summed within a task, cut by ranges of hashes. A worker holds about
-    `hold` n-grams, in twelve bytes each, before it sends them on."""
+def stretches(rows: np.ndarray, col: pa.Array):
+    """Slices of a batch whose row numbers follow each other."""
+    for lo, hi in slices(col):
+        cut = [lo, *(lo + 1 + np.flatnonzero(np.diff(rows[lo:hi]) != 1)).tolist(), hi]
+        yield from zip(cut[:-1], cut[1:], strict=True)
+
+
+def ngram_counts(texts: DataFrame, buckets: int, hold: int = 8 * SLICE) -> DataFrame:
+    """(at, bucket, tokens, token_counts, pairs, pair_counts): the distinct n-grams of each stretch of rows, cut by ranges of
+    hashes, with their counts in training rows. A stretch begins with row number `at`, has rows without a gap, and ends
+    once it has `hold` bytes of text, so a worker holds no more."""
     edges = bucket_edges(buckets)
 
     def count(batches):
-        held: dict[bool, list] = {False: [], True: []}
+        held: tuple[list, list] = ([], [])
+        first, last, size = 0, None, 0
 
         def flush():
-            for pairs, parts in held.items():
-                if not parts:
-                    continue
-                k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            cuts, sums = [], []
+            for parts in held:
+                k, c = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 parts.clear()
-                k, c = summed(k, c)
-                cut = np.r_[np.searchsorted(k, edges), len(k)]
-                full = np.flatnonzero(np.diff(cut))
-                for lo in range(0, len(full), 64):
-                    some = full[lo : lo + 64]
-                    yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array(some, pa.int32()), "pairs": pa.array([pairs] * len(some)), "keys": pa.array([k[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), "counts": pa.array([small(c[cut[b] : cut[b + 1]]) for b in some], pa.binary())}
-                    )
-
-        n = 0
+                cuts.append(np.r_[np.searchsorted(k, edges), len(k)])
+                sums.append((k, c))
+            full = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+            for lo in range(0, len(full), 64):
+                some = full[lo : lo + 64]
+                columns = {"at": pa.array([first] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32())}
+                for name, (k, c), cut in zip(("token", "pair"), sums, cuts, strict=True):
+                    # sorted hashes as what each adds to the one before: the upper bytes are mostly zeros
+                    columns[f"{name}s"] = pa.array([planes(np.diff(k[cut[b] : cut[b + 1]], prepend=edges[b])) for b in some], pa.binary())
+                    columns[f"{name}_counts"] = pa.array([small(c[cut[b] : cut[b + 1]]) for b in some], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
         for batch in batches:
-            col = batch.column(0)
-            for lo, hi in slices(col):
-                tokens, before, _ = sequences(col.slice(lo, hi - lo))
-                one = np.ones(len(tokens), np.int32)
-                starts = np.full(hi - lo, BEGIN)
-                for pairs, keys in ((False, np.r_[tokens, starts]), (True, pair_keys(before, tokens))):
-                    k, c = summed(keys, np.r_[one, np.ones(hi - lo, np.int32)] if not pairs else one)
-                    held[pairs].append((k, c))
-                    n += len(k)
-                if n > hold:
+            col, rows = batch.column("text"), batch.column("row").to_numpy()
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in stretches(rows, col):
+                if last is not None and (size >= hold or rows[lo] != last + 1):
                     yield from flush()
-                    n = 0
-        yield from flush()
-
-    return train.select(text).mapInArrow(count, "bucket int, pairs boolean, keys binary, counts binary")
-
-
-def filter_segments(counts: DataFrame, base: float, bits_per_event: int, bits: int) -> DataFrame:
-    """(bucket, words, tokens, distinct, keys, counts): a segment of the filter and the exact token counts of each bucket."""
+                    last = None
+                if last is None:
+                    first, size = int(rows[lo]), 0
+                part = col.slice(lo, hi - lo)
+                tokens, before, at = sequences(part)
+                own = train[lo:hi].astype(np.int64)
+                each = np.repeat(own, np.diff(at))
+                held[0].append(summed(np.r_[tokens, np.full(hi - lo, BEGIN)], np.r_[each, own]))
+                held[1].append(summed(pair_keys(before, tokens), each))
+                last, size = int(rows[hi - 1]), size + len(text_bytes(part)[0])
+        if last is not None:
+            yield from flush()
+
+    return texts.select("row", "text", "held_out").mapInArrow(count, "at long, bucket int, tokens binary, token_counts binary, pairs binary, pair_counts binary")
+
+
+def probed(counts: DataFrame, buckets: int, base: float, bits_per_event: int, bits: int) -> DataFrame:
+    """(at, bucket, token_levels, token_counts, pair_levels, tokens, distinct): the answer to each message of a bucket, from the
+    segment of the filter that all its messages give; tokens and distinct count a bucket's training tokens in its first row."""
+    edges = bucket_edges(buckets)
 
     def build(group: pa.Table) -> pa.Table:
-        levels, merged = Levels(base), {}
-        for pairs in (False, True):
-            rows = group.filter(pa.compute.equal(group["pairs"], pairs))
-            k = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
-            c = [unsmall(x) for x in rows["counts"].to_pylist()]
-            merged[pairs] = summed(np.concatenate(k), np.concatenate(c)) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        (k1, c1), (k2, c2) = merged[False], merged[True]
-        words = segment(np.r_[k1, k2], np.r_[c1, c2], levels, bits_per_event, bits)
-        real = k1 != BEGIN
+        levels, b = Levels(base), group["bucket"][0].as_py()
+        found = []
+        for name in ("token", "pair"):
+            k = [np.cumsum(unplanes(x)) + edges[b] for x in group[f"{name}s"].to_pylist()]
+            c = [unsmall(x) for x in group[f"{name}_counts"].to_pylist()]
+            at = np.cumsum([0, *map(len, k)])
+            keys, place = np.unique(np.concatenate(k), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, place, np.concatenate(c))
+            found.append((keys, total, place, at))
+        (k1, c1, *_), (k2, c2, *_) = found
+        k, c = np.r_[k1, k2], np.r_[c1, c2]
+        words = segment(k[c > 0], c[c > 0], levels, bits_per_event, bits)
+        probe = LogFrequencyFilter(bucket_edges(1), np.array([0, len(words)]), words, levels, bits)
+        real = (k1 != BEGIN) & (c1 > 0)
+        answers = [[values[place[i:j]] for i, j in zip(at[:-1], at[1:], strict=True)] for (_, _, place, at), values in ((found[0], probe.level(k1)), (found[0], np.where(real, c1, 0)), (found[1], probe.level(k2)))]
+        once = lambda x: pa.array([int(x)] + [0] * (len(group) - 1), pa.int64())
         return pa.table(
-            {"bucket": pa.array([group["bucket"][0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "tokens": pa.array([int(c1[real].sum())], pa.int64()), "distinct": pa.array([int(real.sum())], pa.int64()), "keys": pa.array([k1.tobytes()], pa.binary()), "counts": pa.array([small(c1)], pa.binary())}
+            {"at": group["at"], "bucket": group["bucket"], "token_levels": pa.array(map(small, answers[0]), pa.binary()), "token_counts": pa.array([planes(x.astype(np.uint64)) for x in answers[1]], pa.binary()), "pair_levels": pa.array(map(small, answers[2]), pa.binary()), "tokens": once(c1[real].sum()), "distinct": once(real.sum())}
         )
 
-    return counts.groupBy("bucket").applyInArrow(build, "bucket int, words binary, tokens long, distinct long, keys binary, counts binary")
-
-
-def token_counts(segments: DataFrame, least: int = 0) -> DataFrame:
-    """(key, c): exact counts of training tokens, only those of at least `least`."""
-
-    def rows(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, c = np.frombuffer(k, np.uint64), unsmall(c)
-                ok = (k != BEGIN) & (c >= least)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(k[ok].view(np.int64)), "c": pa.array(c[ok])})
-
-    return segments.select("keys", "counts").mapInArrow(rows, "key long, c long")
+    return counts.groupBy("bucket").applyInArrow(build, "at long, bucket int, token_levels binary, token_counts binary, pair_levels binary, tokens long, distinct long")
 
 
 #: Smoothing weights to choose from.
@@ -203,18 +212,6 @@ class Model:
         return np.log10((c2 + self.k * p) / (c0 + self.k))
 
 
-def needed(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences of a slice with its distinct n-gram keys: tokens, before, starts of rows, keys, where tokens, befores and pairs are in the keys."""
-    tokens, before, at = sequences(col)
-    keys, place = np.unique(np.r_[tokens, before[at[:-1]], pair_keys(before, tokens)], return_inverse=True)
-    n = len(tokens)
-    first, pair = place[:n], place[n + len(at) - 1 :]
-    prev = np.empty(n, np.int64)
-    prev[1:] = first[:-1]
-    prev[at[:-1]] = place[n : n + len(at) - 1]
-    return tokens, keys, at, first, prev, pair
-
-
 def sums_by_weight(levels: np.ndarray, mean: np.ndarray, prev: np.ndarray, first: np.ndarray, pair: np.ndarray, at: np.ndarray, n: int, v: int, spare: float = 0.0) -> np.ndarray:
     """Summed log10 p of every row (columns) under every weight of the grid (rows). Logarithms are taken once for each
     distinct triple of levels."""
@@ -238,49 +235,29 @@ def score(
     """Scores every row after learning from those that `held_out` does not mark.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, smoothing. Counts and smoothing weight come
-    from all training rows.
+    from all training rows. `frequent` and `broadcast_bytes` bounded broadcasts that are no longer made; they change nothing.
     """
-    spark = docs.sparkSession
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
-    train = docs.where(~F.col("held_out"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
     buckets = 4 * scan_tasks(docs)
-    segments = staged(filter_segments(ngram_counts(train, "text", buckets), base, bits_per_event, bits), "lm")
-    total = segments.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.length("words"))).first()
-    n, v, size = (int(x or 0) for x in total)
-
-    top = token_counts(segments, max(1, -(-n // frequent))).collect()
-    top_keys = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(top_keys)
-    known = spark.sparkContext.broadcast((top_keys[order], np.array([r[1] for r in top], np.int64)[order]))
-
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(_load(segments, buckets, base, bits))
-        rows = docs.mapInArrow(_scorer(known, n, v, base, shared=shared), _ROWS)
-    else:
-        rows = _routed(docs, segments, buckets, base, bits).mapInArrow(_scorer(known, n, v, base), _ROWS)
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    texts = staged(docs.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    answers = staged(probed(ngram_counts(texts, buckets), buckets, base, bits_per_event, bits), "lm-answers")
+    n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct")).first())
+
+    # each row's stretch is the last that begins at it or before, in the file that numbers it; a number for every 8 MB of text
+    starts = answers.groupBy(F.shiftright("at", 33).alias("file")).agg(F.collect_set("at").alias("starts"))
+    placed = texts.withColumn("file", F.shiftright("row", 33)).join(F.broadcast(starts), "file")
+    placed = placed.select("id", "text", "held_out", F.array_max(F.filter("starts", lambda x: x <= F.col("row"))).alias("at"))
+    asked = answers.select("at", "bucket", "token_levels", "token_counts", "pair_levels")
+    rows = staged(placed.groupBy("at").cogroup(asked.groupBy("at")).applyInArrow(_scorer(n, v, base), _ROWS), "lm-rows")
     best = chosen(rows)
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.n").alias("n"))
-    found = rare.join(token_counts(segments), "key").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
-    none = F.lit(0)
-    return rows.join(found, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", none) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), F.col("scores")[best].alias("score"), F.lit(GRID[best]).alias("smoothing"),
+    return rows.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), F.col("scores")[best].alias("score"), F.lit(GRID[best]).alias("smoothing"),
     )
 
 
-_ROWS = "id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, fits array<double>, rare array<struct<key:long,n:int>>"
-
-
-def _load(segments: DataFrame, buckets: int, base: float, bits: int) -> LogFrequencyFilter:
-    got = {r[0]: np.frombuffer(r[1], np.uint64) for r in segments.select("bucket", "words").toLocalIterator()}
-    none = np.zeros(0, np.uint64)
-    starts = np.r_[0, np.cumsum([len(got.get(b, none)) for b in range(buckets)])].astype(np.int64)
-    words = np.zeros(int(starts[-1]), np.uint64)
-    for b in sorted(got):
-        words[starts[b] : starts[b + 1]] = got.pop(b)
-    return LogFrequencyFilter(bucket_edges(buckets), starts, words, Levels(base), bits)
+_ROWS = "id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, fits array<double>"
 
 
 def _lists(sums: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
@@ -291,81 +268,46 @@ def _lists(sums: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(some.T.ravel()), mask=mask)
 
 
-def _scorer(known, n: int, v: int, base_: float, shared=None):
-    """Rows to scores. Levels come from the broadcast filter, or beside the text from columns of answers."""
+def _scorer(n: int, v: int, base_: float):
+    """The texts of a stretch, in any order, and the answers to its messages, to rows of scores."""
     mean = Levels(base_).mean
 
-    def run(batches):
-        top_keys, top_counts = known.value
-        for batch in batches:
-            col = batch.column("text")
-            for lo, hi in slices(col):
-                tokens, keys, at, first, prev, pair = needed(col.slice(lo, hi - lo))
-                if shared is not None:
-                    levels = shared.value.level(keys)
-                else:
-                    answers = [(np.frombuffer(a["keys"], np.uint64), unsmall(a["levels"])) for row in batch.column("answers").slice(lo, hi - lo).to_pylist() for a in row or ()]
-                    k = np.concatenate([a[0] for a in answers])
-                    k, i = np.unique(k, return_index=True)
-                    levels = np.concatenate([a[1] for a in answers])[i[find(k, keys)[0]]]
-                held = batch.column("held_out").slice(lo, hi - lo)
-                out = held.to_numpy(zero_copy_only=False).astype(bool)
-                scores = sums_by_weight(levels, mean, prev, first, pair, at, n, v)
-                fits = sums_by_weight(levels, mean, prev, first, pair, at, n, v, 1.0)
-                place, there = find(top_keys, tokens)
-                base = np.zeros(len(tokens))
-                base[there] = np.log10(top_counts[place[there]] + 1.0)
-                row = np.repeat(np.arange(hi - lo), np.diff(at))
-                hidden = np.flatnonzero(~there)
-                pairs = np.stack([row[hidden].astype(np.uint64), tokens[hidden]], 1)
-                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                pairs = pairs[order]
-                new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]) if len(pairs) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(pairs)]).astype(np.int32)
-                offsets = np.searchsorted(pairs[new, 0], np.arange(hi - lo + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(pairs[new, 1].view(np.int64)), pa.array(times)], ["key", "n"]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), held, pa.array(np.diff(at)), pa.array(np.add.reduceat(there.astype(np.int64), at[:-1])), pa.array(np.add.reduceat(base, at[:-1])), _lists(scores), _lists(fits, out), rare],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "scores", "fits", "rare"],
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.combine_chunks(), answers.sort_by("bucket")
+        col = texts["text"].chunk(0)
+        parts, tokens, pairs = [], [np.array([BEGIN])], []
+        for lo, hi in slices(col):
+            own, before, at = sequences(col.slice(lo, hi - lo))
+            parts.append((lo, hi, at))
+            tokens.append(own)
+            pairs.append(pair_keys(before, own))
+        # sorted as they were sent
+        k1, first = np.unique(np.concatenate(tokens), return_inverse=True)
+        k2, pair = np.unique(np.concatenate(pairs), return_inverse=True)
+        del tokens, pairs
+        one, two = (np.concatenate([unsmall(x) for x in answers[f"{name}_levels"].to_pylist()]) for name in ("token", "pair"))
+        if (len(one), len(two)) != (len(k1), len(k2)):
+            raise ValueError("a stretch of texts was read otherwise than when it was counted")
+        levels = np.r_[one, two]
+        counts = np.concatenate([unplanes(x) for x in answers["token_counts"].to_pylist()])
+        logs, begin, first = np.log10(counts + 1.0), first[0], first[1:]
+        out, done = [], 0
+        for lo, hi, at in parts:
+            own, both = first[done : done + at[-1]], pair[done : done + at[-1]] + len(k1)
+            done += at[-1]
+            prev = np.empty(len(own), np.int64)
+            prev[1:] = own[:-1]
+            prev[at[:-1]] = begin
+            held = texts["held_out"].chunk(0).slice(lo, hi - lo)
+            scores = sums_by_weight(levels, mean, prev, own, both, at, n, v)
+            fits = sums_by_weight(levels, mean, prev, own, both, at, n, v, 1.0)
+            known = np.add.reduceat((counts[own] > 0).astype(np.int64), at[:-1])
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [texts["id"].chunk(0).slice(lo, hi - lo), held, pa.array(np.diff(at)), pa.array(known), pa.array(np.add.reduceat(logs[own], at[:-1])), _lists(scores), _lists(fits, held.to_numpy(zero_copy_only=False).astype(bool))],
+                    ["id", "held_out", "n_tokens", "n_known", "base", "scores", "fits"],
                 )
+            )
+        return pa.Table.from_batches(out)
 
     return run
-
-
-def _routed(docs: DataFrame, segments: DataFrame, buckets: int, base: float, bits: int) -> DataFrame:
-    """Texts with the answers to their n-grams, for a filter too large to broadcast.
-
-    The keys of each text go to their segments, at most one row per text and segment; every segment is read by
-    the tasks that hold its rows, and the answers come back to the text. Rows are numbered in a written table.
-    """
-    edges = bucket_edges(buckets)
-    texts = staged(docs.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-
-    def ask(batches):
-        for batch in batches:
-            col = batch.column("text")
-            for i, row in enumerate(batch.column("row").to_pylist()):
-                keys = needed(col.slice(i, 1))[1]
-                cut = np.r_[np.searchsorted(keys, edges), len(keys)]
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "keys": pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
-
-    def answer(group: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, np.uint64) for x in group["words"].drop_null().to_pylist()]
-        asks = group.filter(pa.compute.is_valid(group["row"]))
-        b = group["bucket"][0].as_py()
-        starts = np.zeros(buckets + 1, np.int64)
-        starts[b + 1 :] = len(words[0]) if words else 0
-        f = LogFrequencyFilter(edges, starts, words[0] if words else np.zeros(0, np.uint64), Levels(base), bits)
-        levels = [small(f.level(np.frombuffer(k, np.uint64))) for k in asks["keys"].to_pylist()]
-        return pa.table({"row": asks["row"], "keys": asks["keys"], "levels": pa.array(levels, pa.binary())})
-
-    # frequent n-grams are asked for by every text: a bucket's asks are dealt over parts of about 512, each with a copy of the segment
-    asked = staged(texts.select("row", "text").mapInArrow(ask, "row long, bucket int, keys binary"), "lm-asks")
-    parts = asked.groupBy("bucket").agg(F.ceil(F.count("*") / 512).alias("parts"))
-    asked = asked.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("parts")
-    held = segments.join(parts, "bucket").select(F.lit(None).cast("long").alias("row"), "bucket", F.lit(None).cast("binary").alias("keys"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "words")
-    both = asked.withColumn("words", F.lit(None).cast("binary")).unionByName(held)
-    answers = both.groupBy("bucket", "part").applyInArrow(answer, "row long, keys binary, levels binary")
-    back = answers.groupBy("row").agg(F.collect_list(F.struct("keys", "levels")).alias("answers"))
-    return texts.join(back, "row").select("id", "text", "held_out", "answers")

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from quaycheck.llm import bpe, lm_score, minhash_dedup, packing, pieces, quality_rules, stats
 from quaycheck.llm import words as words_of
+from quaycheck.llm.common import planes, unplanes
 from tests.llm.conftest import ODD, sentence
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -82,6 +83,42 @@ def test_filter_answers_levels_of_all_counts():
     assert (f.level(keys + np.uint64(1)) > 0).mean() < 0.04  # false hits
 
 
+def test_filter_stays_in_its_segments(spark, monkeypatch):
+    sent = []
+    keep = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or keep(self, value))
+    docs = spark.createDataFrame([(i, sentence(i % 9, 30 + i)) for i in range(40)], "doc_id long, text string")
+    assert len(lm_score.score(docs).collect()) == 40 and not sent
+
+
+def test_stretches_of_any_size_give_the_same_scores(spark, monkeypatch):
+    rows = [(i, sentence(i % 9, 30 + i)) for i in range(60)] + [(3, None), (3, ""), (None, "one two"), (3, None)] + [(70, "same words here")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 5 == 0
+    plain = lambda: sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9), r.smoothing) for r in lm_score.score(docs, held_out=held).collect())
+    large, counts, seen = plain(), lm_score.ngram_counts, []
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def short(texts, buckets):
+        seen.append(counts(texts, buckets, hold=300))
+        return seen[-1]
+
+    monkeypatch.setattr(lm_score, "ngram_counts", short)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        assert len(large) == len(rows) and plain() == large
+        sent = seen[0].collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len({r.at for r in sent}) > 10 and len({(r.at, r.bucket) for r in sent}) == len(sent)
+    assert [*lm_score.stretches(np.array([1, 2, 5, 6, 7]), pa.array(["a"] * 5))] == [(0, 2), (2, 5)]
+
+
+def test_numbers_come_back_from_planes():
+    a = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
+    assert (unplanes(planes(a)) == a).all() and not len(unplanes(planes(a[:0])))
+
+
 def test_scores_of_empty_table(no_docs):
     assert lm_score.score(no_docs).collect() == []
 
