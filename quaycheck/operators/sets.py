@@ -84,7 +84,8 @@ def commit_markers(objects: DataFrame, inventory: DataFrame, key: str, marker: C
     own = F.xxhash64(key, *[c for c in ("file_id",) if c in objects.columns])
     salt = F.when(F.col("_marker").isNull(), own).otherwise(F.pmod(own, F.lit(salts)))
     wanted = objects.withColumn("_folder", parent_folder(F.col(key))).withColumn("_marker", marker).withColumn("_salt", salt)
-    asked = wanted.where("_marker IS NOT NULL").select("_marker").distinct()
+    # unpacked from a list: of a literal, Spark would make a join without keys
+    asked = wanted.where("_marker IS NOT NULL").select("_marker").distinct().select(F.explode(F.array("_marker")).alias("_marker"))
     base = F.element_at(F.split(F.col("object_key"), "/"), -1)
     there = (
         inventory.select(parent_folder(F.col("object_key")).alias("_folder"), base.alias("_marker"))
